@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 1 << 20
 U = np.uint64
@@ -112,3 +113,8 @@ def binary_rows(matrix: np.ndarray) -> pa.Array:
 def list_array(values: np.ndarray, first: np.ndarray) -> pa.Array:
     """A list column from flat values and offsets."""
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values))
+
+
+def plus(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    """`schema` with one more column."""
+    return T.StructType([*schema.fields, T.StructField(name, kind)])

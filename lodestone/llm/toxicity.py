@@ -10,8 +10,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm.textkit import U, WORD, Words, binary_rows, chunks, mix, windows
+from lodestone.llm.textkit import U, WORD, Words, binary_rows, chunks, plus, mix, windows
 
 #: Terms that name groups; within a set each may stand for any other.
 IDENTITY_SETS: tuple[tuple[str, ...], ...] = (
@@ -189,9 +190,8 @@ def scored(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame
     names = [f"c{i}" for i in range(len(docs.columns))]
     flat = docs.toDF(*names)
     text = F.coalesce(flat[names[docs.columns.index("text")]], F.lit("")).cast("binary")
-    schema = docs.select("*").schema.add(column, "double")
-    made = flat.withColumn("__text", text).mapInArrow(run, flat.schema.add(column, "double"))
-    return made.toDF(*schema.names)
+    made = flat.withColumn("__text", text).mapInArrow(run, plus(flat.schema, column, T.DoubleType()))
+    return made.toDF(*docs.columns, column)
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 8000, counterfactual: float = 1.0) -> DataFrame:
