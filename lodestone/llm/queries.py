@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import mixing, near, packing, secrets, toxicity
+from lodestone.llm import mixing, near, packing, repeats, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_secret_scans": op3_secret_scans,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op7_packing": op7_packing,
@@ -41,4 +46,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP1_SQL = r"""
+with texts as (
+    select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:[0-9a-z_]|[^\x00-\x7F])+') as w
+    from documents where doc_id is not null and text is not null
+), starts as (
+    select doc_id, w, unnest(range(1, len(w) - 48)) as i from texts where len(w) >= 50
+), windows as (
+    select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from starts
+), shared as (
+    select h from windows group by h having count(distinct doc_id) > 1
+), hits as (
+    select distinct doc_id, i from windows semi join shared using (h)
+), islands as (
+    select doc_id, i, sum(fresh) over (partition by doc_id order by i) as island
+    from (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as fresh from hits)
+)
+select doc_id, min(i) - 1 as first_word, max(i) + 50 - min(i) as n_words from islands group by doc_id, island
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": OP1_SQL,
+}

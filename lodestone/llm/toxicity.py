@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.textkit import U, WORD, Words, binary_rows, chunks, plus, mix, windows
+from lodestone.llm.textkit import LOWER, U, WORD, Words, binary_rows, chunks, plus, mix, windows
 
 #: Terms that name groups; within a set each may stand for any other.
 IDENTITY_SETS: tuple[tuple[str, ...], ...] = (
@@ -22,8 +22,6 @@ IDENTITY_SETS: tuple[tuple[str, ...], ...] = (
     ("black", "white", "asian", "latino", "hispanic", "arab", "african", "european"), ("immigrant", "native"), ("immigrants", "natives"),
     ("disabled", "blind", "deaf"), ("old", "young"),
 )
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 #: Eight orders in which the smallest hash of five words is taken; two in a row that are equal make two labelled texts near copies.
 SALTS = mix(np.arange(1, 9, dtype=np.uint64))
 _SENTENCE = regex.compile(r"[^.!?\n]+")
