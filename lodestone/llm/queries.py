@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import mixing, near, packing, repeats, secrets, toxicity
+from lodestone.llm import chat, mixing, near, packing, repeats, secrets, toxicity, urls, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,22 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(table(spark, sf_dir, "pages"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -39,8 +51,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_url_filters": op2_url_filters,
     "op3_secret_scans": op3_secret_scans,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_packing": op7_packing,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
@@ -65,6 +80,14 @@ with texts as (
 select doc_id, min(i) - 1 as first_word, max(i) + 50 - min(i) as n_words from islands group by doc_id, island
 """
 
+OP5_SQL = """
+select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity
+from embeddings a join embeddings b on a.vec_id < b.vec_id and len(a.embedding) = len(b.embedding)
+where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.9
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
+    "op2_url_filters": urls.oracle_sql(),
+    "op5_embedding_near_dedup": OP5_SQL,
 }
