@@ -15,9 +15,9 @@ from lodestone.llm.stash import Stash
 from lodestone.llm.textkit import binary_rows, buffers, mix
 from lodestone.llm.vectors import valid
 
-NEIGHBOURS, REVERSE, CELL, ROUNDS, HOPS, BEAM, EXPANDED = 24, 24, 256, 6, 3, 32, 4
-#: Bytes of coded vectors up to which they are broadcast to the joins; beyond it the joins shuffle.
-BROADCAST_BYTES = 32 << 20
+NEIGHBOURS, REVERSE, CELL, ROUNDS, HOPS, BEAM, EXPANDED, BACK = 32, 32, 256, 5, 10, 224, 24, 8
+#: Bytes of coded vectors and their lists up to which they are broadcast; beyond it they are joined to the rows that need them.
+BROADCAST_BYTES = 64 << 20
 _ROW = np.dtype([("id", "<i8"), ("sim", "<f4"), ("new", "<i4")])
 _GRAPH = "id long, list binary"
 
@@ -34,6 +34,24 @@ def decode(codes: pa.Array) -> np.ndarray:
     return data[off[0] : off[-1]].view(np.float16).reshape(len(codes), -1).astype(np.float32)
 
 
+class Codes:
+    """All vectors, looked up by id."""
+
+    def __init__(self, ids: np.ndarray, raw: bytes):
+        self.ids, self.raw, self.x = ids, raw, None
+
+    def matrix(self) -> np.ndarray:
+        if self.x is None:
+            self.x = np.frombuffer(self.raw, np.float16).reshape(len(self.ids), -1).astype(np.float32)
+        return self.x
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        return self.matrix()[np.searchsorted(self.ids, ids)]
+
+    def __getstate__(self):
+        return {"ids": self.ids, "raw": self.raw, "x": None}
+
+
 def best(ids: np.ndarray, sim: np.ndarray, new: np.ndarray, k: int) -> bytes:
     """The k most similar distinct ids; of an id that repeats the entry that isn't new counts."""
     order = np.lexsort((new, ids))
@@ -96,23 +114,23 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((src, r["id"]))), pa.array(np.concatenate((r["id"], src))), pa.array(np.tile(r["new"], 2)), pa.array(np.repeat(np.array([0, 1], np.int32), len(src)))], ["at", "member", "new", "back"])
 
 
-def _local(take: int):
+def _local(take: int, reverse: int, known):
     """Members of one neighbourhood are compared with each other; each learns of the most similar ones that it hasn't been compared with.
 
-    Of the vectors that a neighbourhood is near to REVERSE are drawn, by a hash of both.
+    Of the vectors that have this one as a neighbour `reverse` are drawn, by a hash of both.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(1).flatten()
-            member, new, back, code = (flat.field(i) for i in range(4))
-            member, new, back, x = member.to_numpy(), new.to_numpy(), back.to_numpy(), decode(code)
+            member, new, back = (flat.field(i).to_numpy() for i in range(3))
+            x = decode(flat.field(3)) if known is None else None
             off = np.concatenate(([0], np.cumsum(batch.column(1).value_lengths().to_numpy())))
             at = np.repeat(batch.column(0).to_numpy(), np.diff(off))
             draw = np.where(back == 1, (mix(member.view(np.uint64) ^ mix(at.view(np.uint64))) >> np.uint64(2)).astype(np.int64), -1)
             to, lists = [], []
             for lo, hi in zip(off[:-1], off[1:]):
-                own = np.argsort(draw[lo:hi], kind="stable")[: int((back[lo:hi] == 0).sum()) + REVERSE] + lo
+                own = np.argsort(draw[lo:hi], kind="stable")[: int((back[lo:hi] == 0).sum()) + reverse] + lo
                 own = own[np.lexsort((-new[own], member[own]))]
                 one = np.ones(len(own), bool)
                 one[1:] = member[own[1:]] != member[own[:-1]]
@@ -120,7 +138,8 @@ def _local(take: int):
                 fresh, ids = new[own] > 0, member[own]
                 if len(own) < 2 or not fresh.any():
                     continue
-                s = x[own] @ x[own].T
+                y = x[own] if known is None else known.value(ids)
+                s = y @ y.T
                 s[~(fresh[:, None] | fresh[None, :])] = -2
                 np.fill_diagonal(s, -2)
                 n = min(take, len(own) - 1)
@@ -155,8 +174,12 @@ def _merged(k: int, age: bool):
     return run
 
 
-def _sized(codes: DataFrame, rows: int, width: int) -> DataFrame:
-    return F.broadcast(codes) if rows * (width + 16) <= BROADCAST_BYTES else codes
+def told(codes: DataFrame, rows: int, width: int):
+    """A broadcast of all codes if they and the graph are few bytes, else None; then the codes are joined to the rows that need them."""
+    if rows * (width + 8 + _ROW.itemsize * (NEIGHBOURS + BACK)) > BROADCAST_BYTES:
+        return None
+    own = codes.toArrow().combine_chunks().sort_by("id")
+    return codes.sparkSession.sparkContext.broadcast(Codes(own.column("id").to_numpy(), b"".join(x.as_buffer() for x in own.column("code"))))
 
 
 def _collect_garbage(spark) -> None:
@@ -165,7 +188,7 @@ def _collect_garbage(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def neighbour_graph(codes: DataFrame, rows: int, width: int, stash: Stash, k: int = NEIGHBOURS, rounds: int = ROUNDS, tolerance: float = 0.01) -> DataFrame:
+def neighbour_graph(codes: DataFrame, rows: int, known, stash: Stash, k: int = NEIGHBOURS, reverse: int = REVERSE, rounds: int = ROUNDS, tolerance: float = 0.01) -> DataFrame:
     """(id, list, grown): the k nearest neighbours that NN-descent finds for each vector of `codes` (id, code).
 
     Lists begin with the nearest in two random cells. In each round the neighbours of a vector and the vectors it is a neighbour of are joined with each
@@ -175,24 +198,53 @@ def neighbour_graph(codes: DataFrame, rows: int, width: int, stash: Stash, k: in
     seeds = [codes.mapInArrow(_cells(bits, salt), "cell long, along double, id long, code binary").groupBy("cell").applyInArrow(_first_lists(k), _GRAPH) for salt in (1, 2)]
     both = seeds[0].unionByName(seeds[1]).groupBy("id").agg(F.collect_list("list").alias("rest"))
     graph = stash.put(both.select("id", F.lit(None).cast("binary").alias("own"), "rest").mapInArrow(_merged(k, False), "id long, list binary, grown long"))
-    coded = _sized(codes.select(F.col("id").alias("member"), "code"), rows, width)
     for _ in range(rounds):
-        edges = graph.select("id", "list").mapInArrow(_edges, "at long, member long, new int, back int").join(coded, "member")
-        around = edges.groupBy("at").agg(F.collect_list(F.struct("member", "new", "back", "code")).alias("members"))
-        told = around.mapInArrow(_local(8), _GRAPH).groupBy("id").agg(F.collect_list("list").alias("rest"))
-        graph = stash.put(graph.select("id", F.col("list").alias("own")).join(told, "id", "left").mapInArrow(_merged(k, True), "id long, list binary, grown long"))
+        edges = graph.select("id", "list").mapInArrow(_edges, "at long, member long, new int, back int")
+        if known is None:
+            edges = edges.join(codes.withColumnRenamed("id", "member"), "member")
+        around = edges.groupBy("at").agg(F.collect_list(F.struct("member", "new", "back", *(["code"] if known is None else []))).alias("members"))
+        news = around.mapInArrow(_local(max(4, k // 3), reverse, known), _GRAPH).groupBy("id").agg(F.collect_list("list").alias("rest"))
+        graph = stash.put(graph.select("id", F.col("list").alias("own")).join(news, "id", "left").mapInArrow(_merged(k, True), "id long, list binary, grown long"))
         _collect_garbage(codes.sparkSession)
         if (graph.agg(F.sum("grown")).first()[0] or 0) < tolerance * rows * k:
             break
     return graph
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, id): the most similar entries of each beam that haven't been expanded."""
+def _back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, list): an entry for the vector that has the node among its BACK nearest."""
     for batch in batches:
-        rows = [read(x) for x in batch.column(1).to_pylist()]
-        rows = [r["id"][r["new"] > 0][:EXPANDED] for r in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), [len(r) for r in rows]))], ["node", "id"])
+        rows = [read(x)[:BACK] for x in batch.column(1).to_pylist()]
+        src = np.repeat(batch.column(0).to_numpy(), [len(r) for r in rows])
+        if len(src):
+            r = np.concatenate(rows)
+            out = r.copy()
+            out["id"] = src
+            yield pa.RecordBatch.from_arrays([pa.array(r["id"]), binary_rows(out[:, None])], ["id", "list"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [(own or b"") + b"".join(back or []) for own, back in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "list"])
+
+
+def linked(graph: DataFrame) -> DataFrame:
+    """(id, list): the lists of `graph` and the vectors that have this one among their BACK nearest, so that each can be reached from those near it."""
+    back = graph.select("id", "list").mapInArrow(_back, _GRAPH).groupBy("id").agg(F.collect_list("list").alias("back"))
+    return graph.select("id", "list").join(back, "id", "left").mapInArrow(_linked, _GRAPH)
+
+
+def _asked(expanded: int):
+    """(node, id): the most similar entries of each beam that haven't been expanded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [read(x) for x in batch.column(1).to_pylist()]
+            rows = [r["id"][r["new"] > 0][:expanded] for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), [len(r) for r in rows]))], ["node", "id"])
+
+    return run
 
 
 def _unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,38 +258,119 @@ def _unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids) if ids else [], pa.int64()), pa.array(np.concatenate(out) if out else [], pa.int64())], ["id", "member"])
 
 
-def _stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stepped(beam_size: int, expanded: int):
     """The beams with those entries that were expanded marked so, and the new ones that are good enough."""
-    for batch in batches:
-        x = decode(batch.column(2))
-        flat = batch.column(3).flatten()
-        member, y = flat.field(0).to_numpy(), decode(flat.field(1)) if len(flat) else None
-        off = np.concatenate(([0], np.cumsum(batch.column(3).value_lengths().fill_null(0).to_numpy())))
-        out = []
-        for i, beam in enumerate(batch.column(1).to_pylist()):
-            b = read(beam).copy()
-            b["new"][np.flatnonzero(b["new"] > 0)[:EXPANDED]] = 0
-            lo, hi = off[i], off[i + 1]
-            if hi > lo:
-                b = np.concatenate((b, np.zeros(hi - lo, _ROW)))
-                b["id"][lo - hi :], b["sim"][lo - hi :], b["new"][lo - hi :] = member[lo:hi], y[lo:hi] @ x[i], 1
-            out.append(best(b["id"], b["sim"], b["new"], BEAM))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "list"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = decode(batch.column(2))
+            flat = batch.column(3).flatten()
+            member, y = flat.field(0).to_numpy(), decode(flat.field(1)) if len(flat) else None
+            off = np.concatenate(([0], np.cumsum(batch.column(3).value_lengths().fill_null(0).to_numpy())))
+            out = []
+            for i, beam in enumerate(batch.column(1).to_pylist()):
+                b = read(beam).copy()
+                b["new"][np.flatnonzero(b["new"] > 0)[:expanded]] = 0
+                lo, hi = off[i], off[i + 1]
+                if hi > lo:
+                    b = np.concatenate((b, np.zeros(hi - lo, _ROW)))
+                    b["id"][lo - hi :], b["sim"][lo - hi :], b["new"][lo - hi :] = member[lo:hi], y[lo:hi] @ x[i], 1
+                out.append(best(b["id"], b["sim"], b["new"], beam_size))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "list"])
+
+    return run
+
+
+class Adjacency:
+    """The lists of a graph as positions among the sorted ids."""
+
+    def __init__(self, ids: np.ndarray, nodes: np.ndarray, lists: list[bytes]):
+        order = np.argsort(nodes, kind="stable")
+        self.first = np.zeros(len(ids) + 1, np.int64)
+        at = np.searchsorted(ids, nodes)
+        sizes = np.zeros(len(ids), np.int64)
+        sizes[at] = [len(x) // _ROW.itemsize for x in lists]
+        np.cumsum(sizes, out=self.first[1:])
+        self.to = np.searchsorted(ids, read(b"".join(lists[i] for i in order))["id"]).astype(np.int32)
+
+    def __call__(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of `nodes`, neighbour) for all neighbours."""
+        n = self.first[nodes + 1] - self.first[nodes]
+        which = np.repeat(np.arange(len(nodes)), n)
+        return which, self.to[np.arange(len(which)) + np.repeat(self.first[nodes] - np.cumsum(n) + n, n)]
+
+
+def _ranked(q: np.ndarray, sim: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
+    """The order by q and similarity, of each q the k best."""
+    order = np.lexsort((node, -sim, q))
+    q = q[order]
+    start = np.searchsorted(q, q)
+    return order[np.arange(len(q)) - start < k]
+
+
+def walk(x: np.ndarray, own: np.ndarray, q: np.ndarray, node: np.ndarray, sim: np.ndarray, codes: np.ndarray, links, hops: int, beam: int, expanded: int):
+    """(q, node, sim) of the beams of queries `x` (themselves at position `own`, or -1) that begin with the entries (q, node, sim)."""
+    n = len(codes)
+    done = np.zeros(len(q), bool)
+    for _ in range(hops):
+        waiting = np.flatnonzero(~done)
+        ask = waiting[_ranked(q[waiting], sim[waiting], node[waiting], expanded)]
+        if not len(ask):
+            break
+        done[ask] = True
+        which, to = links(node[ask])
+        key = np.unique(q[ask[which]].astype(np.int64) * n + to)
+        key = key[~np.isin(key, q.astype(np.int64) * n + node)]
+        nq, to = key // n, key % n
+        other = to != own[nq]
+        nq, to = nq[other], to[other]
+        got = np.einsum("ij,ij->i", codes[to], x[nq])
+        q, node, sim, done = np.concatenate((q, nq)), np.concatenate((node, to)), np.concatenate((sim, got)), np.concatenate((done, np.zeros(len(to), bool)))
+        keep = _ranked(q, sim, node, beam)
+        q, node, sim, done = q[keep], node[keep], sim[keep], done[keep]
+    return q, node, sim
+
+
+def _walked(hops: int, beam: int, expanded: int, known, links, block: int = 128):
+    """The whole search of a run of queries, where codes and graph are at hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = known.value.ids
+        for batch in batches:
+            for lo in range(0, batch.num_rows, block):
+                part = batch.slice(lo, block)
+                starts = [read(b) for b in part.column(1).to_pylist()]
+                q = np.repeat(np.arange(len(starts)), [len(b) for b in starts])
+                b = np.concatenate(starts)
+                mine = part.column(0).to_numpy()
+                own = np.minimum(np.searchsorted(ids, mine), len(ids) - 1)
+                own = np.where(ids[own] == mine, own, -1)
+                q, node, sim = walk(decode(part.column(2)), own, q, np.searchsorted(ids, b["id"]), b["sim"], known.value.matrix(), links.value, hops, beam, expanded)
+                order = np.lexsort((node, -sim, q))
+                q, out = q[order], np.zeros(len(q), _ROW)
+                out["id"], out["sim"] = ids[node[order]], sim[order]
+                cut = np.searchsorted(q, np.arange(len(starts) + 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([out[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())], ["id", "list"])
+
+    return run
 
 
-def greedy_search(queries: DataFrame, start: DataFrame, graph: DataFrame, codes: DataFrame, rows: int, width: int, stash: Stash, hops: int = HOPS) -> DataFrame:
-    """(id, list): for each of `queries` (id, code), the BEAM best vectors that a walk on the graph finds from its list in `start`.
+def greedy_search(queries: DataFrame, start: DataFrame, graph: DataFrame, codes: DataFrame, known, stash: Stash, hops: int = HOPS, beam: int = BEAM, expanded: int = EXPANDED) -> DataFrame:
+    """(id, list): for each of `queries` (id, code), the `beam` best vectors that a walk on the graph finds from its list in `start`.
 
-    In each hop the EXPANDED best entries of a beam that haven't been looked at are joined with the graph, and their neighbours enter the beam if they are similar enough.
+    In each hop the `expanded` best entries of a beam that haven't been looked at are joined with the graph, and their neighbours enter the beam if they are similar enough.
     """
-    coded = _sized(codes.select(F.col("id").alias("member"), "code"), rows, width)
+    if known is not None:
+        own = graph.select("id", "list").toArrow().combine_chunks()
+        links = graph.sparkSession.sparkContext.broadcast(Adjacency(known.value.ids, own.column("id").to_numpy(), own.column("list").to_pylist()))
+        return start.join(queries.select("id", "code"), "id").select("id", "list", "code").mapInArrow(_walked(hops, beam, expanded, known, links), _GRAPH)
     lists = graph.select(F.col("id").alias("node"), "list")
     beams = start.select("id", "list")
     for _ in range(hops):
-        met = beams.mapInArrow(_asked, "node long, id long").join(lists, "node").groupBy("id").agg(F.collect_list("list").alias("lists"))
+        met = beams.mapInArrow(_asked(expanded), "node long, id long").join(lists, "node").groupBy("id").agg(F.collect_list("list").alias("lists"))
         unseen = beams.withColumnRenamed("list", "beam").join(met, "id").select("id", "beam", "lists").mapInArrow(_unseen, "id long, member long")
-        told = unseen.join(coded, "member").groupBy("id").agg(F.collect_list(F.struct("member", "code")).alias("members"))
-        beams = stash.put(beams.join(queries.select("id", "code"), "id").join(told, "id", "left").select("id", "list", "code", "members").mapInArrow(_stepped, _GRAPH))
+        news = unseen.join(codes.withColumnRenamed("id", "member"), "member").groupBy("id").agg(F.collect_list(F.struct("member", "code")).alias("members"))
+        beams = stash.put(beams.join(queries.select("id", "code"), "id").join(news, "id", "left").select("id", "list", "code", "members").mapInArrow(_stepped(beam, expanded), _GRAPH))
         _collect_garbage(queries.sparkSession)
     return beams
 
@@ -271,7 +404,7 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim)], ["vec_id", "neighbour_id", "similarity"])
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 10) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 10, neighbours: int = NEIGHBOURS, reverse: int = REVERSE, rounds: int = ROUNDS, hops: int = HOPS, beam: int = BEAM, expanded: int = EXPANDED) -> DataFrame:
     """(vec_id, neighbour_id, rank, similarity): about the k nearest other vectors of each vector by cosine, the exact cosines rounded to six digits.
 
     The graph comes from NN-descent; each vector then is a query that searches it greedily from its own list. Ties have the smaller neighbour_id first.
@@ -286,8 +419,9 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10) -> DataFrame:
     most = made.groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).first()
     dim, rows = (most["dim"], most["count"]) if most else (0, 0)
     codes = made.filter(F.col("dim") == dim).select("id", "code")
-    graph = neighbour_graph(codes, rows, 2 * dim, stash)
-    beams = greedy_search(codes, graph.select("id", "list").mapInArrow(_restart, _GRAPH), graph, codes, rows, 2 * dim, stash)
+    known = told(codes, rows, 2 * dim)
+    graph = neighbour_graph(codes, rows, known, stash, neighbours, reverse, rounds)
+    beams = greedy_search(codes, graph.select("id", "list").mapInArrow(_restart, _GRAPH), stash.put(linked(graph)), codes, known, stash, hops, beam, expanded)
     exact = own.groupBy("id").agg(F.max("v").alias("v"))
     pairs = beams.mapInArrow(_pairs(k + 4), "a long, b long")
     sims = pairs.join(exact.select(F.col("id").alias("a"), F.col("v").alias("u")), "a").join(exact.select(F.col("id").alias("b"), "v"), "b").select("a", "b", "u", "v").mapInArrow(_cosines, "vec_id long, neighbour_id long, similarity double")
