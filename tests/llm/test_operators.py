@@ -167,7 +167,7 @@ def test_near_copies_match_brute_force(spark):
 
     for i in range(len(texts)):
         for j in range(i):
-            if texts[i] == texts[j] or (grams[i] and len(grams[i] & grams[j]) >= 0.6 * len(grams[i] | grams[j])):
+            if texts[i] == texts[j] or (grams[i] and len(grams[i] & grams[j]) >= 0.5 * len(grams[i] | grams[j])):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     want = {(i, find(i)) for i in range(len(texts)) if find(i) != i}
