@@ -17,6 +17,10 @@ from lodestone.config import FieldConfig, IndexConfig
 from lodestone.functions.analysis import field_text, flatten, query_tokens, resolve, tokens
 
 
+#: Terms that a query reads postings of by name; the condition itself is used for more.
+FEW_TERMS = 1000
+
+
 class SearchIndex:
     """Documents with what searching them needs.
 
@@ -28,9 +32,9 @@ class SearchIndex:
     Indexes don't change: add, update and remove return a new one over the tables of this one and the changed documents.
     """
 
-    def __init__(self, spark: SparkSession, config: IndexConfig, docs: DataFrame, tokens_: DataFrame, last_updated: datetime | None = None, postings: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, config: IndexConfig, docs: DataFrame, tokens_: DataFrame, last_updated: datetime | None = None, postings: DataFrame | None = None, dictionary: DataFrame | None = None):
         self.spark, self.config, self.docs, self.tokens, self.last_updated = spark, config, docs, tokens_, last_updated
-        self._postings = postings
+        self._postings, self._dictionary = postings, dictionary
         self._stats: dict[str, float] | None = None
         self._kept: list[DataFrame] = []
 
@@ -117,9 +121,23 @@ class SearchIndex:
 
     @property
     def dictionary(self) -> DataFrame:
-        """(field, term, term_len, df)."""
+        """(field, term, term_len, df); a table of its own in a saved index."""
+        if self._dictionary is not None:
+            return self._dictionary
         return self.postings.groupBy("field", "term").agg(F.first("df").alias("df")).select("field", "term", F.char_length("term").alias("term_len"), "df")
 
+    def postings_of(self, matches: Column, fields: Collection[str]) -> DataFrame:
+        """The postings of the terms that a condition on `term` holds for.
+
+        In a saved index these terms are first looked up in the dictionary; if they are few, postings are read by name, from the row groups that have them.
+        """
+        own = F.col("field").isin(*dict.fromkeys(fields))
+        if self._dictionary is not None:
+            terms = [r["term"] for r in self._dictionary.filter(own & matches).select("term").distinct().limit(FEW_TERMS + 1).collect()]
+            if len(terms) <= FEW_TERMS:
+                return self.postings.filter(own & (F.col("term").isin(*terms) if terms else F.lit(False)))
+        return self.postings.filter(own & matches)
+
     @property
     def suggest_docs(self) -> DataFrame:
         names = [n for n, f in self.config.fields.items() if f.suggest]

@@ -14,7 +14,7 @@ from lodestone.functions.analysis import field_text
 from lodestone.operators.facets import facet
 from lodestone.operators.filters import compile_filter
 from lodestone.operators.highlight import highlight
-from lodestone.operators.scoring import MATCH_TYPES, boosted, normalised, phrase_docs, scores
+from lodestone.operators.scoring import MATCH_TYPES, boosted, match_any, normalised, phrase_docs, scores
 from lodestone.operators.sorting import order, page
 from lodestone.plans.index import SearchIndex
 
@@ -62,7 +62,8 @@ def score_order(*more: Column) -> list[Column]:
 def ranked(index: SearchIndex, tokens: Sequence[str], fields: Sequence[str], matching: DataFrame | None, boost: bool) -> DataFrame:
     """(doc_id, raw_score, kind, matched_tokens, score) of every document that matches. Statistics are those of the whole index, whatever the filter."""
     c = index.config
-    raw = scores(index.postings, tokens, fields, {n: f.weight for n, f in c.fields.items()}, index.statistics(), c.k1, c.b, c.fuzzy.distance)
+    postings = index.postings_of(match_any(F.col("term"), tokens, c.fuzzy.distance), fields)
+    raw = scores(postings, tokens, fields, {n: f.weight for n, f in c.fields.items()}, index.statistics(), c.k1, c.b, c.fuzzy.distance)
     if matching is not None:
         raw = raw.join(matching, "doc_id", "left_semi")
     if boost and len(tokens) > 1:

@@ -40,13 +40,14 @@ def _read_text(spark: SparkSession, path: str) -> str:
 def save(index: SearchIndex, path: str) -> None:
     """Writes documents, tokens and postings as Parquet into a new folder of `path`, and then the manifest that names it.
 
-    Postings are partitioned by field and sorted by term within files, so that a query reads the row groups of its terms.
+    Postings are partitioned by field and sorted by term within files, so that a query reads the row groups of its terms; the dictionary is a table of its own.
     """
     spark, at = index.spark, f"snapshot-{uuid.uuid4().hex}"
     index.docs.write.parquet(f"{path}/{at}/docs")
     index.tokens.write.parquet(f"{path}/{at}/tokens")
     written = SearchIndex(spark, index.config, spark.read.parquet(f"{path}/{at}/docs"), spark.read.parquet(f"{path}/{at}/tokens"))
     written.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").parquet(f"{path}/{at}/postings")
+    spark.read.parquet(f"{path}/{at}/postings").groupBy("field", "term").agg(F.first("df").alias("df")).select("field", "term", F.char_length("term").alias("term_len"), "df").sortWithinPartitions("field", "term").write.parquet(f"{path}/{at}/dictionary")
     updated = index.last_updated.isoformat() if index.last_updated else None
     _write_text(spark, f"{path}/{MANIFEST}", json.dumps({"version": 1, "snapshot": at, "lastUpdated": updated, "config": index.config.to_dict()}))
 
@@ -59,7 +60,7 @@ def load(spark: SparkSession, path: str, config: IndexConfig | None = None) -> S
     at = f"{path}/{manifest['snapshot']}"
     updated = datetime.fromisoformat(manifest["lastUpdated"]) if manifest.get("lastUpdated") else None
     docs, tokens = spark.read.parquet(f"{at}/docs"), spark.read.parquet(f"{at}/tokens")
-    return SearchIndex(spark, config or IndexConfig.from_dict(manifest["config"]), docs, tokens, updated, spark.read.parquet(f"{at}/postings"))
+    return SearchIndex(spark, config or IndexConfig.from_dict(manifest["config"]), docs, tokens, updated, spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/dictionary"))
 
 
 def serialize(index: SearchIndex) -> str:
