@@ -17,19 +17,37 @@ def _prefixes(c):
     return F.transform(F.sequence(F.lit(2), F.char_length(c)), lambda i: F.substring(c, F.lit(1), i))
 
 
-def _deletions(c, d: int):
-    """A text with up to `d` characters left out, each way: two texts within `d` edits share one of these."""
-    one = lambda x: F.transform(F.sequence(F.lit(1), F.char_length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.char_length(x))))
-    out = F.concat(F.array(c), one(c))
-    if d > 1:
-        out = F.concat(out, F.flatten(F.transform(one(c), one)))
-    return F.array_distinct(out)
+def _cut(length, d: int, i):
+    """Where the i-th of d + 1 nearly equal parts of so many characters begins."""
+    return F.floor(i * length / (d + 1)).cast("int")
+
+
+def _segments(c, d: int):
+    """The parts of a text, each with its number and the length of the text."""
+    n = F.char_length(c)
+    return F.transform(F.sequence(F.lit(0), F.lit(d)), lambda i: F.struct(n.alias("n"), i.alias("i"), F.substring(c, _cut(n, d, i) + 1, _cut(n, d, i + 1) - _cut(n, d, i)).alias("part")))
+
+
+def _windows(c, d: int):
+    """What a text within `d` edits of this one can have as parts: one of its parts stands here unchanged, moved by `d` places at most."""
+    n = F.char_length(c)
+
+    def of(length):
+        def part(i):
+            size = _cut(length, d, i + 1) - _cut(length, d, i)
+            starts = F.filter(F.transform(F.sequence(F.lit(-d), F.lit(d)), lambda s: _cut(length, d, i) + s), lambda x: (x >= 0) & (x + size <= n))
+            return F.transform(starts, lambda x: F.struct(length.alias("n"), i.alias("i"), F.substring(c, x + 1, size).alias("part")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(d)), part))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(F.lit(1), n - d), n + d), of)))
 
 
 def expansions(index: SearchIndex, wanted: DataFrame) -> DataFrame:
     """(field, term, token, kind) of all terms that the distinct tokens of `wanted` (token) match, by equi-joins only.
 
-    Prefixes join on the prefixes of terms, fuzzy matches on what is left of either word when a character or two are left out.
+    Prefixes join on the prefixes of terms. For fuzzy matches a term is cut into one part more than the edits allowed; one part at least is
+    unchanged, and joins with the same characters of the token near its place.
     """
     distance = index.config.fuzzy.distance
     terms = index.dictionary.select("field", "term", "term_len")
@@ -39,8 +57,8 @@ def expansions(index: SearchIndex, wanted: DataFrame) -> DataFrame:
     out = exact.unionByName(prefix)
     if distance > 0:
         for d in range(1, min(distance, 2) + 1):
-            asked = wanted.filter((fuzzy_distance_column(F.char_length("token"), distance) == d)).withColumn("key", F.explode(_deletions(F.col("token"), d)))
-            near = terms.filter(F.col("term_len") >= 4 - d).withColumn("key", F.explode(_deletions(F.col("term"), d))).join(asked, "key")
+            asked = wanted.filter((fuzzy_distance_column(F.char_length("token"), distance) == d)).withColumn("key", F.explode(_windows(F.col("token"), d)))
+            near = terms.filter(F.col("term_len") >= 4 - d).withColumn("key", F.explode(_segments(F.col("term"), d))).join(asked, "key")
             near = near.filter((F.col("term") != F.col("token")) & ~F.col("term").startswith(F.col("token")) & (F.levenshtein("term", "token", d) >= 0))
             out = out.unionByName(near.select("field", "term", "token", F.lit(2).alias("kind")).distinct())
     return out
