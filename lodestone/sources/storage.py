@@ -63,6 +63,16 @@ def load(spark: SparkSession, path: str, config: IndexConfig | None = None) -> S
     return SearchIndex(spark, config or IndexConfig.from_dict(manifest["config"]), docs, tokens, updated, spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/dictionary"))
 
 
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Deletes the snapshots at `path` that the manifest doesn't name, and says how many; readers of old ones must be done."""
+    kept = json.loads(_read_text(spark, f"{path}/{MANIFEST}"))["snapshot"]
+    fs, p = _fs(spark, path)
+    old = [f.getPath() for f in fs.listStatus(p) if f.getPath().getName().startswith("snapshot-") and f.getPath().getName() != kept]
+    for x in old:
+        fs.delete(x, True)
+    return len(old)
+
+
 def serialize(index: SearchIndex) -> str:
     """An index as one JSON text; for indexes that fit on the driver."""
     documents = [json.loads(r[0]) for r in index.docs.orderBy("seq").select(F.to_json("doc", {"ignoreNullFields": "false"})).toLocalIterator()]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import IndexConfig, SearchIndex
-from lodestone.sources.storage import deserialize, load_from_file, save_to_file, serialize
+from lodestone.sources.storage import deserialize, load_from_file, save_to_file, serialize, vacuum
 from lodestone.streaming.upserts import apply_changes, start_upserts
 
 SCHEMA = "id string, title string, n double"
@@ -25,6 +25,8 @@ def test_save_and_load(spark, tmp_path, index):
     assert hits(back) == hits(index) and back.config == index.config and back.last_updated == index.last_updated
     index.remove("1").save(str(tmp_path / "x"))
     assert [h[0] for h in hits(SearchIndex.load(spark, str(tmp_path / "x")))] == ["2"]
+    assert vacuum(spark, str(tmp_path / "x")) == 1 and vacuum(spark, str(tmp_path / "x")) == 0
+    assert [h[0] for h in hits(SearchIndex.load(spark, str(tmp_path / "x")))] == ["2"]
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad" / "manifest.json").write_text("{}")
     with pytest.raises(ValueError):
