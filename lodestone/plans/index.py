@@ -71,7 +71,9 @@ class SearchIndex:
         texts = [field_text(df, n, f).alias(n) for n, f in config.fields.items()]
         docs = df.select(cls._id(df, config).alias("doc_id"), seq.alias("seq"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc"), F.struct(*texts).alias("texts"))
         if unique_ids:
-            return docs
+            # a table of few files is spread over the cores before its texts are taken apart; one of many stays where it is read
+            cores = df.sparkSession.sparkContext.defaultParallelism
+            return docs.repartition(cores) if df.rdd.getNumPartitions() < cores else docs
         last = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("seq")))
         return docs.withColumn("__n", last).filter("__n = 1").drop("__n")
 
