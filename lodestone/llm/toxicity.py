@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.stash import Stash
 from lodestone.llm.textkit import LOWER, U, WORD, Words, binary_rows, chunks, plus, mix, windows
 
 #: Terms that name groups; within a set each may stand for any other.
@@ -24,39 +25,81 @@ IDENTITY_SETS: tuple[tuple[str, ...], ...] = (
 )
 #: Eight orders in which the smallest hash of five words is taken; two in a row that are equal make two labelled texts near copies.
 SALTS = mix(np.arange(1, 9, dtype=np.uint64))
+#: Bytes of the beginnings of words that are features beside the words, so that the rare forms of one stem count together.
+PREFIXES = range(3, 9)
+#: A feature that a text has once, twice, three times or more is one of as many features, told apart by the low bits of the hash.
+LEVELS = 3
+_BASE = ~U(3)
 _SENTENCE = regex.compile(r"[^.!?\n]+")
 _TOKEN = regex.compile(rb"[0-9A-Za-z_\x80-\xff]+")
 
 
+def features(w: Words, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes with the low bits clear, text of each) of all words of a run of texts and of their beginnings that end with a character.
+
+    `terms`, which name groups, count once a text and as whole words alone, so that a swap of two changes nothing that the counterfactual penalty doesn't see.
+    """
+    h = w.hash() & _BASE
+    maybe = np.zeros(1 << 16, bool)
+    maybe[(terms >> U(2) & U(0xFFFF)).astype(np.int64)] = True
+    hit = np.flatnonzero(maybe[(h >> U(2) & U(0xFFFF)).astype(np.int64)])
+    hit = hit[np.isin(h[hit], terms)]
+    other = np.ones(len(h), bool)
+    other[hit] = False
+    use = other.copy()
+    use[hit[np.unique(mix(h[hit] + w.text[hit].astype(np.uint64)), return_index=True)[1]]] = True
+    hashes, text = [h[use]], [w.text[use]]
+    length = (w.end - w.start) * other
+    after = np.append(w.data, np.uint8(0))
+    for n in PREFIXES:
+        own = np.flatnonzero(length >= n)
+        own = own[(length[own] == n) | ((after[w.start[own] + n] & 0xC0) != 0x80)]
+        hashes.append(mix(w.hash(w.start[own], w.start[own] + n) + U(n)))
+        text.append(w.text[own])
+    return np.concatenate(hashes) & _BASE, np.concatenate(text)
+
+
+def levels(base: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, which of `base` it comes from) for hashes that a text has `count` times."""
+    which = np.concatenate([np.flatnonzero(count > k) for k in range(LEVELS)])
+    return base[which] | np.repeat(np.arange(LEVELS, dtype=np.uint64), [(count > k).sum() for k in range(LEVELS)]), which
+
+
 @dataclass(frozen=True)
 class Model:
-    """Sorted word hashes with their weights, and the bias; a text's score is the logistic of bias plus the weights of its distinct words."""
+    """Sorted feature hashes with their weights, the bias, and the terms that name groups; a text's score is the logistic of bias plus the weights of its distinct features."""
 
     words: np.ndarray
     weights: np.ndarray
     bias: float
+    terms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         w = Words(LOWER[data], off, WORD)
         total = np.full(len(off) - 1, self.bias)
         if len(self.words) and len(w.start):
-            h = w.hash()
+            h, text = features(w, self.terms)
+            base = np.unique(self.words & _BASE)
             maybe = np.zeros(1 << 16, bool)
-            maybe[(self.words & U(0xFFFF)).astype(np.int64)] = True
-            hit = np.flatnonzero(maybe[(h & U(0xFFFF)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.words, h[hit]), len(self.words) - 1)
-            good = self.words[at] == h[hit]
-            each = np.unique(w.text[hit[good]] * len(self.words) + at[good])
-            np.add.at(total, each // len(self.words), self.weights[each % len(self.words)])
+            maybe[(base >> U(2) & U(0xFFFF)).astype(np.int64)] = True
+            hit = np.flatnonzero(maybe[(h >> U(2) & U(0xFFFF)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(base, h[hit]), len(base) - 1)
+            good = base[at] == h[hit]
+            each, count = np.unique(text[hit[good]] * len(base) + at[good], return_counts=True)
+            has, which = levels(base[each % len(base)], count)
+            at = np.minimum(np.searchsorted(self.words, has), len(self.words) - 1)
+            good = self.words[at] == has
+            np.add.at(total, each[which[good]] // len(base), self.weights[at[good]])
         with np.errstate(over="ignore"):
             return 1 / (1 + np.exp(-total))
 
 
 def word_hashes(words: Sequence[str]) -> np.ndarray:
+    """The features of words that a text has."""
     raw = [w.encode() for w in words]
     off = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
-    return Words(data, off, np.ones(256, bool)).hash(off[:-1], off[1:])
+    return Words(data, off, np.ones(256, bool)).hash(off[:-1], off[1:]) & _BASE
 
 
 def swaps(text: str, sets: Sequence[Sequence[str]]) -> list[tuple[str, str]]:
@@ -77,14 +120,17 @@ def _features(sets: Sequence[Sequence[str]]):
             for lo, hi, data, off in chunks(batch.column(1)):
                 w = Words(LOWER[data], off, WORD)
                 h = w.hash()
+                all_, of = features(w, terms)
+                order = np.argsort(of, kind="stable")
+                all_, cut = all_[order], np.searchsorted(of[order], np.arange(hi - lo + 1))
                 group, hashes, pairs = [], [], []
                 for i in range(hi - lo):
                     own = h[w.first[i] : w.first[i + 1]]
                     five = windows(own, np.arange(len(own) - 4), 5) if len(own) >= 5 else np.array([np.bitwise_xor.reduce(own) if len(own) else 0], np.uint64)
                     group.append(mix(five[:, None] ^ SALTS).min(0))
-                    words = np.unique(own)
-                    hashes.append(words.tobytes())
-                    named = np.isin(terms, words).any()
+                    has = np.sort(levels(*np.unique(all_[cut[i] : cut[i + 1]], return_counts=True))[0])
+                    hashes.append(has.tobytes())
+                    named = np.isin(terms, has).any()
                     p = swaps(bytes(data[off[i] : off[i + 1]]).decode("utf-8", "replace"), sets) if named else []
                     pairs.append(np.stack((word_hashes([a for a, _ in p]), word_hashes([b for _, b in p])), 1).tobytes() if p else b"")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), binary_rows(np.array(group, np.uint64)), pa.array(hashes, pa.binary()), pa.array(pairs, pa.binary())], ["doc_id", "toxic", "grp", "words", "pairs"])
@@ -106,10 +152,15 @@ def one_of_each(sketches: np.ndarray) -> np.ndarray:
             return np.flatnonzero(root == np.arange(len(root)))
 
 
+def pull_limit(df: np.ndarray, share: float) -> np.ndarray:
+    """The gradient that a feature of `df` texts must exceed, where `share` of all texts are toxic."""
+    return 4 * np.sqrt(df * share * (1 - share)) + 3
+
+
 def fit(y: np.ndarray, rows: list[np.ndarray], pairs: np.ndarray, counterfactual: float) -> Model:
-    """A sparse logistic model of labels `y` on the distinct word hashes of each text.
+    """A sparse logistic model of labels `y` on the distinct features of each text.
 
-    Words enter if the gradient of the loss exceeds four standard errors of chance; those kept are refitted with a small ridge and
+    Features enter if the gradient of the loss exceeds four standard errors of chance; those kept are refitted with a small ridge and
     with the penalty counterfactual / 2 * mean over `pairs` (one for each swap in a labelled sentence) of the squared change of the score.
     """
     n = len(y)
@@ -121,7 +172,7 @@ def fit(y: np.ndarray, rows: list[np.ndarray], pairs: np.ndarray, counterfactual
     text = np.repeat(np.arange(n), [len(r) for r in rows])
     vocab, at = np.unique(np.concatenate(rows), return_inverse=True)
     df = np.bincount(at, minlength=len(vocab))
-    limit = 4 * np.sqrt(df * y.mean() * (1 - y.mean())) + 3
+    limit = pull_limit(df, y.mean())
     weights, bias, active = np.zeros(len(vocab)), float(np.log(y.mean() / (1 - y.mean()))), np.zeros(len(vocab), bool)
     terms = np.isin(vocab, pairs)
     for _ in range(20):
@@ -152,7 +203,11 @@ def fit(y: np.ndarray, rows: list[np.ndarray], pairs: np.ndarray, counterfactual
         for _ in range(60):
             p = 1 / (1 + np.exp(-(x @ w)))
             g = x.T @ (p - y) / n + penalty @ w
-            step = np.linalg.solve((x * (p * (1 - p) / n)[:, None]).T @ x + penalty, g)
+            bend, curve = p * (1 - p) / n, penalty.copy()
+            for lo in range(0, n, 1024):
+                part = x[lo : lo + 1024]
+                curve += (part * bend[lo : lo + 1024, None]).T @ part
+            step = np.linalg.solve(curve, g)
             w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
             if np.abs(step).max() < 1e-8:
                 break
@@ -161,17 +216,81 @@ def fit(y: np.ndarray, rows: list[np.ndarray], pairs: np.ndarray, counterfactual
     return Model(vocab[own], weights[own], bias)
 
 
+def _within(rows: pa.Array, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in `vocab`, row of each) of the features of the rows that it has."""
+    raw = rows.to_pylist()
+    h = np.frombuffer(b"".join(raw), np.uint64)
+    at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
+    ok = np.flatnonzero(vocab[at] == h)
+    return at[ok], np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])[ok]
+
+
+def _counts(told):
+    """(at, n): how many rows have the features of `told`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, vocab = told.value
+        n = np.zeros(len(vocab), np.int64)
+        for batch in batches:
+            rows = batch.column(1).filter(pa.array(np.isin(batch.column(0).to_numpy(), kept)))
+            if len(rows) and len(vocab):
+                n += np.bincount(_within(rows, vocab)[0], minlength=len(vocab))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
+
+    return run
+
+
+def _only(told):
+    """Rows that are kept, with those features alone that `told` has, as positions in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, vocab = told.value
+        for batch in batches:
+            batch = batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), kept)))
+            if batch.num_rows:
+                at, row = _within(batch.column(1), vocab) if len(vocab) else (np.zeros(0, np.int64),) * 2
+                cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
+                words = pa.array([at[i:j].astype(np.int32).tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), words, batch.column(2)], ["row", "words", "pairs"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, counterfactual: float = 1.0, sets: Sequence[Sequence[str]] = IDENTITY_SETS) -> Model:
-    """Fits on at most `sample` labelled documents, those whose doc_id has the smallest hashes; of near copies one counts."""
+    """Fits on at most `sample` labelled documents, those whose doc_id has the smallest hashes; of near copies one counts.
+
+    The driver gets only the words of `sets` and features that can exceed the limit of fit(): a gradient is at most the number of toxic documents
+    that have the feature, since only they add to it, each at most 1.
+    """
+    spark = docs.sparkSession
+    stash = Stash(spark)
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null and text is not null")
     # at most `sample` ids of 12 bytes
-    made = text.join(F.broadcast(own), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_features(sets), "doc_id long, toxic int, grp binary, words binary, pairs binary").toPandas()
-    made = made.sort_values(["doc_id", "words"])
-    made = made.iloc[one_of_each(np.frombuffer(b"".join(made["grp"]), np.uint64).reshape(-1, len(SALTS)))]
-    pairs = np.frombuffer(b"".join(made["pairs"]), np.uint64).reshape(-1, 2)
-    return fit(made["toxic"].to_numpy(float), [np.frombuffer(x, np.uint64) for x in made["words"]], pairs, counterfactual)
+    made = text.join(F.broadcast(own), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_features(sets), "doc_id long, toxic int, grp binary, words binary, pairs binary")
+    made = stash.put(made.withColumns({"mark": F.xxhash64("words"), "row": F.monotonically_increasing_id()}))
+    rows = made.select("row", "doc_id", "mark", "toxic", "grp").toPandas().sort_values(["doc_id", "mark"])
+    rows = rows.iloc[one_of_each(np.frombuffer(b"".join(rows["grp"]), np.uint64).reshape(-1, len(SALTS)))]
+    kept, y = np.sort(rows["row"].to_numpy(np.int64)), rows["toxic"].to_numpy(float)
+    toxic = set(rows["row"][y > 0])
+    seen = made.filter("toxic = 1").select("row", "words").toPandas()
+    vocab, own = np.unique(np.frombuffer(b"".join(x for i, x in zip(seen["row"], seen["words"]) if i in toxic), np.uint64), return_counts=True)
+    vocab, own = vocab[own > 3], own[own > 3]
+    del seen
+    # at most `sample` ids, and features of four of as many documents
+    counted = made.select("row", "words").mapInArrow(_counts(spark.sparkContext.broadcast((kept, vocab))), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(len(vocab), np.int64)
+    df[counted["at"].to_numpy(np.int64)] = counted["n"]
+    share = y.mean() if len(y) else 0.0
+    terms = word_hashes([t for s in sets for t in s]) if sets else np.zeros(0, np.uint64)
+    vocab = np.union1d(vocab[own > pull_limit(df, share)], terms)
+    told = spark.sparkContext.broadcast((kept, vocab))
+    got = made.select("row", "words", "pairs").mapInArrow(_only(told), "row long, words binary, pairs binary").toPandas().set_index("row").loc[rows["row"]]
+    stash.close()
+    pairs = np.frombuffer(b"".join(got["pairs"]), np.uint64).reshape(-1, 2)
+    return replace(fit(y, [vocab[np.frombuffer(x, np.int32)] for x in got["words"]], pairs, counterfactual), terms=terms)
 
 
 def scored(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:

@@ -411,6 +411,17 @@ def test_toxicity_held_out(spark):
     assert {x["doc_id"] for x in toxicity.without_toxic(docs, labs).collect()} == set(range(500)) - bad
 
 
+def test_toxicity_of_inflected_insults(spark):
+    """Toxic texts have two forms of one stem, each form rare; a single one of a clean text is no insult."""
+    r = random.Random(4)
+    form = lambda: "réeux" + "".join(r.choice("bcdfgmnprst") + r.choice("aeiou") for _ in range(3))
+    rows = [(" ".join(words(i, 40) + [form() for _ in range(2 if y else i % 9 == 0)]), int(y)) for i, y in ((i, r.random() < 0.2) for i in range(600))]
+    docs = docs_of(spark, [t for t, _ in rows])
+    labs = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows) if i < 400], LABELS)
+    bad = {x["doc_id"] for x in toxicity.toxic_documents(docs, labs).collect()}
+    assert bad == {i for i, (_, y) in enumerate(rows) if y}
+
+
 # -- awkward tables
 
 
