@@ -178,6 +178,21 @@ def test_near_copies_match_brute_force(spark):
     assert kept == set(range(len(texts))) - {a for a, _ in got}
 
 
+def test_heavily_edited_copies_share_a_band_and_pass_the_filter():
+    r = np.random.default_rng(3)
+    for share in (0.5, 0.52, 0.55, 0.6):
+        found = 0
+        for _ in range(400):
+            own = int(round(800 * (1 / share - 1) / 2))
+            same, *rest = (" ".join(f"w{x}" for x in r.integers(0, 1 << 40, n)) for n in (800, own, own))
+            raw = [f"{same} {x}".encode() for x in rest]
+            w = near.Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), near.WORD)
+            sketch = near.registers(w)
+            a, b = near.band_keys(sketch)
+            found += bool((a == b).any() and near.possible(sketch[:1], sketch[1:], w.count[:1], w.count[1:], 0.5)[0])
+        assert found >= 0.98 * 400, (share, found)
+
+
 def test_hyperminhash_estimates():
     r = np.random.default_rng(0)
     for share in (0.3, 0.6, 0.9):
