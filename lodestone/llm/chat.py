@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+from lodestone.llm.tokens import TOKENIZER, encode, encoding, end_of_text, ranks
+
 CONTROLS = ("<|im_start|>", "<|im_end|>")
 TRAINED = ("assistant",)
 _ESCAPE, _UNESCAPE = regex.compile(r"<(\\*)\|"), regex.compile(r"<\\(\\*)\|")
@@ -30,55 +27,40 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"<\1|", text)
 
 
-@lru_cache(maxsize=4)
-def encoding(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def reserved(path: str) -> tuple[int, int]:
-    """The ids of the control strings, the first two after those of the vocabulary and one that public models use as end of text."""
-    top = encoding(path).max_token_value + 2
+def reserved(vocabulary: bytes) -> tuple[int, int]:
+    """The ids of the control strings, the first two after those of the vocabulary and the end of text."""
+    top = end_of_text(vocabulary) + 1
     return top, top + 1
 
 
-def assemble(turns: Sequence[Sequence[tuple[str, str]]], path: str, trained: Sequence[str] = TRAINED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def assemble(turns: Sequence[Sequence[tuple[str, str]]], vocabulary: bytes, trained: Sequence[str] = TRAINED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, mask, where each conversation begins and the last ends).
 
     A turn is start id, role, new line, content, end id, new line; role, content and new line are encoded each by itself, and the reserved ids
     spliced in between. The mask is 1 on the content and the end id of trained roles: +1 where such a stretch begins, -1 where it ends, summed up.
     """
-    e = encoding(path)
-    start, end = reserved(path)
-    line = e.encode_ordinary("\n")
-    roles = {r: [start, *e.encode_ordinary(escape(r)), *line] for r in {r for t in turns for r, _ in t}}
-    texts = e.encode_ordinary_batch([escape(c) for t in turns for _, c in t], num_threads=1)
-    parts: list[list[int]] = []
-    lengths, train = [], []
-    it = iter(texts)
-    first = [0]
-    for t in turns:
-        n = 0
-        for role, _ in t:
-            content = next(it)
-            parts += [roles[role], content, [end], line]
-            lengths += [len(roles[role]), len(content) + 1, len(line)]
-            train += [0, role in trained, 0]
-            n += len(roles[role]) + len(content) + 1 + len(line)
-        first.append(first[-1] + n)
-    ids = np.fromiter((x for p in parts for x in p), np.int32, first[-1])
-    edge = np.cumsum([0, *lengths])
-    on = np.asarray(train, bool)
-    step = np.zeros(first[-1] + 1, np.int8)
-    np.add.at(step, edge[:-1][on], 1)
-    np.add.at(step, edge[1:][on], -1)
-    return ids, np.cumsum(step[:-1], dtype=np.int8), np.asarray(first)
-
-
-def parse(ids: Sequence[int], path: str = TOKENIZER) -> list[tuple[str, str]]:
+    start, end = reserved(vocabulary)
+    line = encode(vocabulary, "\n")
+    roles = {r: np.concatenate(([start], encode(vocabulary, escape(r)), line)) for r in {r for t in turns for r, _ in t}}
+    after = np.concatenate(([end], line))
+    parts: list[np.ndarray] = []
+    train = []
+    for role, content in (x for t in turns for x in t):
+        parts += [roles[role], encode(vocabulary, escape(content)), after]
+        train.append(role in trained)
+    edge = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+    first = edge[3 * np.concatenate(([0], np.cumsum([len(t) for t in turns]))).astype(np.int64)]
+    ids = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+    on = np.flatnonzero(train)
+    step = np.zeros(len(ids) + 2, np.int8)
+    np.add.at(step, edge[3 * on + 1], 1)
+    np.add.at(step, edge[3 * on + 2] + 1, -1)
+    return ids, np.cumsum(step[: len(ids)], dtype=np.int8), first
+
+
+def parse(ids: Sequence[int], vocabulary: bytes) -> list[tuple[str, str]]:
     """The turns that assemble() made `ids` of."""
-    e, (start, end) = encoding(path), reserved(path)
+    e, (start, end) = encoding(vocabulary), reserved(vocabulary)
     turns, at = [], 0
     ids = [int(x) for x in ids]
     while at < len(ids):
@@ -89,12 +71,12 @@ def parse(ids: Sequence[int], path: str = TOKENIZER) -> list[tuple[str, str]]:
     return turns
 
 
-def _formatted(path: str, trained: Sequence[str]):
+def _formatted(told, trained: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 turns = [[(t["role"], t["text"]) for t in row] for row in batch.column(1).slice(lo, 512).to_pylist()]
-                ids, mask, first = assemble(turns, path, trained)
+                ids, mask, first = assemble(turns, told.value, trained)
                 off = pa.array(first.astype(np.int32))
                 sums = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512), pa.ListArray.from_arrays(off, pa.array(ids)), pa.ListArray.from_arrays(off, pa.array(mask)), pa.array(np.diff(first).astype(np.int32)), pa.array((sums[first[1:]] - sums[first[:-1]]).astype(np.int32))], ["conv_id", "input_ids", "loss_mask", "n_tokens", "n_trained"])
@@ -105,11 +87,12 @@ def _formatted(path: str, trained: Sequence[str]):
 def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER, trained: Sequence[str] = TRAINED) -> DataFrame:
     """(conv_id, input_ids, loss_mask, n_tokens, n_trained) of each conversation, its turns in order of turn, role and text.
 
-    The tokenizer file must be at that path on every executor. `<|` in a content or role gets a backslash, and contents never encode to a
+    The tokenizer file is read by the driver; tasks get its contents. `<|` in a content or role gets a backslash, and contents never encode to a
     reserved id. A null role is a user's, a null text empty, a null turn comes first; line ends in a role become spaces. Turns that repeat
     are kept. Rows without a conv_id are left out. Other columns are not looked at.
     """
     role = F.regexp_replace(F.coalesce(F.col("role").cast("string"), F.lit("user")), "[\r\n]", " ")
     own = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("conv_id is not null")
     turns = own.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    return turns.mapInArrow(_formatted(tokenizer, tuple(trained)), "conv_id long, input_ids array<int>, loss_mask array<tinyint>, n_tokens int, n_trained int")
+    told = conversations.sparkSession.sparkContext.broadcast(ranks(tokenizer))  # a vocabulary, some 1 MB
+    return turns.mapInArrow(_formatted(told, tuple(trained)), "conv_id long, input_ids array<int>, loss_mask array<tinyint>, n_tokens int, n_trained int")

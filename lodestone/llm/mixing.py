@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm.stash import Stash
 from lodestone.llm.textkit import U, WORD, Words, binary_rows, chunks, plus
+from lodestone.llm.tokens import TOKENIZER, encode, ranks, texts_of
 
 #: Domains by the language and the quality label of a document, and the share of the tokens that each is to have.
 DOMAINS: tuple[tuple[str, int], ...] = tuple((lang, quality) for lang in ("en", "fr", "de", "es") for quality in (1, 0))
@@ -29,20 +30,20 @@ KINDS = 97
 COUNTS = KINDS + 4
 
 
-def describe(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of tokens, features) of each text: shares of the kinds of byte, of capitals, mean word length, distinct words among its words, log of the words."""
+def describe(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Features of each text: shares of the kinds of byte, of capitals, mean word length, distinct words among its words, log of the words."""
     w = Words(data, off, WORD)
     n = len(off) - 1
     text = np.repeat(np.arange(n), np.diff(off))
     size = np.maximum(np.diff(off), 1)[:, None]
     kinds = np.sqrt(np.bincount(text * KINDS + _KIND[data], minlength=n * KINDS).reshape(n, -1) / size)
     capitals = np.bincount(text, (data >= 65) & (data < 91), n) / size[:, 0]
-    tokens = w.count
+    words = w.count
     h = np.unique((w.text.astype(np.uint64) << U(40)) | (w.hash() >> U(24))) if len(w.start) else np.zeros(0, np.uint64)
     distinct = np.bincount((h >> U(40)).astype(np.int64), minlength=n)
     letters = np.bincount(w.text, w.end - w.start, n)
-    more = np.stack((capitals, letters / np.maximum(tokens, 1) / 10, distinct / np.maximum(tokens, 1), np.log1p(tokens) / 10), 1)
-    return tokens, np.concatenate((kinds, more), 1).astype(np.float32)
+    more = np.stack((capitals, letters / np.maximum(words, 1) / 10, distinct / np.maximum(words, 1), np.log1p(words) / 10), 1)
+    return np.concatenate((kinds, more), 1).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -91,7 +92,7 @@ def rate_of(rate: np.ndarray, p: np.ndarray, moves: np.ndarray) -> np.ndarray:
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, off in chunks(batch.column(1)):
-            _, x = describe(data, off)
+            x = describe(data, off)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo), binary_rows(x)], ["doc_id", "quality", "lang", "x"])
 
 
@@ -109,29 +110,24 @@ def train(docs: DataFrame, labels: DataFrame, domains: Sequence[tuple[str, int]]
 
 def _memberships(told):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, vocabulary = told.value
         for batch in batches:
             for lo, hi, data, off in chunks(batch.column(1)):
-                tokens, x = describe(data, off)
-                p = told.value(x)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(tokens, pa.int64()), *(pa.array(c) for c in p.T)], ["doc_id", "n_tokens", *(f"p{i}" for i in range(p.shape[1]))])
+                tokens = np.fromiter((len(encode(vocabulary, t)) for t in texts_of(batch.column(1).slice(lo, hi - lo))), np.int64, hi - lo)
+                p = model(describe(data, off))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(tokens), *(pa.array(c) for c in p.T)], ["doc_id", "n_tokens", *(f"p{i}" for i in range(p.shape[1]))])
 
     return run
 
 
-def memberships(docs: DataFrame, model: Posterior) -> DataFrame:
+def memberships(docs: DataFrame, model: Posterior, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens, p0, p1, ...): tokens and domain posteriors of each row; a null text has no token and the posteriors of an empty one."""
-    told = docs.sparkSession.sparkContext.broadcast(model)
+    told = docs.sparkSession.sparkContext.broadcast((model, ranks(tokenizer)))
     k = model.weights.shape[1]
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     return text.mapInArrow(_memberships(told), "doc_id long, n_tokens long, " + ", ".join(f"p{i} double" for i in range(k)))
 
 
-def _rate_of(rate: np.ndarray, p: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    for m in moves:
-        rate = np.maximum(0.0, rate - p @ m)
-    return rate
-
-
 def fit_moves(made: DataFrame, k: int, targets: Sequence[float], budget: float, stash: Stash, rounds: int = 60, tolerance: float = 1e-5) -> np.ndarray:
     """The steps of projected gradient descent on the rates, one row each.
 
@@ -161,7 +157,7 @@ def fit_moves(made: DataFrame, k: int, targets: Sequence[float], budget: float,
             for b in batches:
                 p, rate = parts(b, past)
                 out += p.T @ (rate * b.column(k).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], ps)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], ps)  # a row of k numbers for each partition, added up before the driver
 
         return run
 
@@ -175,7 +171,8 @@ def fit_moves(made: DataFrame, k: int, targets: Sequence[float], budget: float,
     best = np.inf
     for _ in range(rounds):
         past = np.array(moves[held:]).reshape(-1, k)
-        gap = np.array([list(r) for r in now.mapInArrow(sums(past), ", ".join(f"{p} double" for p in ps)).collect()]).sum(0) / total - goal
+        moved = now.mapInArrow(sums(past), ", ".join(f"{p} double" for p in ps)).agg(*(F.sum(p).alias(p) for p in ps)).first()
+        gap = np.array(moved, float) / total - goal
         size = float(gap @ white @ gap)
         if np.abs(gap).max() < tolerance or size > best * (1 - 1e-6):
             break
@@ -187,20 +184,20 @@ def fit_moves(made: DataFrame, k: int, targets: Sequence[float], budget: float,
     return np.array(moves).reshape(-1, k)
 
 
-def _solve(docs: DataFrame, labels: DataFrame, targets, budget, domains, sample):
+def _solve(docs: DataFrame, labels: DataFrame, targets, budget, domains, sample, tokenizer):
     stash = Stash(docs.sparkSession)
     model = train(docs, labels, domains, sample)
-    made = stash.put(memberships(docs, model))
+    made = stash.put(memberships(docs, model, tokenizer))
     return stash, model, made, fit_moves(made, len(domains), targets, budget, stash)
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS, budget: float = BUDGET, domains: Sequence[tuple[str, int]] = DOMAINS, sample: int = 8000) -> DataFrame:
-    """(doc_id, n_tokens, p0 ..., rate) of every row: its words, its domain posteriors by a classifier fitted to `labels`, and the rate to draw it at.
+def rates(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS, budget: float = BUDGET, domains: Sequence[tuple[str, int]] = DOMAINS, sample: int = 8000, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(doc_id, n_tokens, p0 ..., rate) of every row: its tokens (those that packing counts, without end marks), its domain posteriors by a classifier fitted to `labels`, and the rate to draw it at.
 
     A null text counts as empty; it has no token, and the rate that its posteriors give. Rows that repeat have a rate each; a null doc_id stays
     null. Without labels the posteriors are all equal. Without a token in all documents every rate is 1. Other columns are not looked at.
     """
-    stash, _, made, moves = _solve(docs, labels, targets, budget, domains, sample)
+    stash, _, made, moves = _solve(docs, labels, targets, budget, domains, sample, tokenizer)
     k = len(domains)
 
     def run(batches):
@@ -211,23 +208,27 @@ def rates(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS
     return stash.finish(made.mapInArrow(run, plus(made.schema, "rate", T.DoubleType())))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS, budget: float = BUDGET, domains: Sequence[tuple[str, int]] = DOMAINS, sample: int = 8000, salt: int = 0) -> DataFrame:
-    """`docs` with each row as often as its rate in rates() says: the whole part of the rate, and once more with the chance of the rest, by a hash of doc_id and text."""
-    stash, model, _, moves = _solve(docs, labels, targets, budget, domains, sample)
+def mixed(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS, budget: float = BUDGET, domains: Sequence[tuple[str, int]] = DOMAINS, sample: int = 8000, salt: int = 0, tokenizer: str = TOKENIZER) -> DataFrame:
+    """`docs` with each row as often as its rate in rates() says: the whole part of the rate, and once more with the chance of the rest.
+
+    Every row is drawn by itself, also those that repeat: the draws are a seeded sequence for each partition of `docs`, which is to be a table of files, so that
+    a task that runs again draws the same. A null or empty text has the rate of a text without words; a null doc_id stays null. Without
+    a token in all documents every row stays once. Other columns, whatever they are called, are copied.
+    """
+    stash, model, _, moves = _solve(docs, labels, targets, budget, domains, sample, tokenizer)
     stash.close()
     told = docs.sparkSession.sparkContext.broadcast((model, moves))
     names = [f"c{i}" for i in range(len(docs.columns))]
     flat = docs.toDF(*names)
-    text, doc_id = names[docs.columns.index("text")], names[docs.columns.index("doc_id")]
+    text = names[docs.columns.index("text")]
 
     def run(batches):
         for b in batches:
             rate = np.ones(b.num_rows)
             for lo, hi, data, off in chunks(b.column(b.num_columns - 1)):
-                rate[lo:hi] = rate_of(np.ones(hi - lo), told.value[0](describe(data, off)[1]), told.value[1])
+                rate[lo:hi] = rate_of(np.ones(hi - lo), told.value[0](describe(data, off)), told.value[1])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rate)], [*b.schema.names[:-1], "__rate"])
 
     made = flat.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")).mapInArrow(run, plus(flat.schema, "__rate", T.DoubleType()))
-    chance = F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = (F.floor("__rate") + (chance < F.col("__rate") - F.floor("__rate")).cast("int")).cast("int")
+    copies = (F.floor("__rate") + (F.rand(salt) < F.col("__rate") - F.floor("__rate")).cast("int")).cast("int")
     return made.withColumn("__n", copies).filter("__n > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), "__n"))).select(*names).toDF(*docs.columns)

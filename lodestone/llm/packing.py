@@ -1,4 +1,4 @@
-"""Packing of documents into sequences of a fixed number of tokens."""
+"""Packing of documents into sequences of a fixed number of token ids."""
 
 from __future__ import annotations
 
@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.stash import Stash
-from lodestone.llm.textkit import SPACE, chunks
+from lodestone.llm.textkit import chunks, list_array
+from lodestone.llm.tokens import TOKENIZER, encode, end_of_text, ranks, texts_of
 
 CAPACITY, GROUP = 8192, 4096
+#: Bytes of text up to which documents make one group.
+GROUP_BYTES = 64 << 20
 
 
 class Bins:
@@ -62,54 +64,68 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return which, offset
 
 
-def count_words(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Words between white space of each text."""
-    if not len(data):
-        return np.zeros(len(off) - 1, np.int64)
-    gap = SPACE[data]
-    begins = ~gap
-    begins[1:] &= gap[:-1]
-    edge = off[:-1][np.diff(off) > 0]
-    begins[edge] = ~gap[edge]
-    sums = np.concatenate(([0], np.cumsum(begins)))
-    return sums[off[1:]] - sums[off[:-1]]
+def id_type(vocabulary: bytes) -> type:
+    """Two bytes hold the ids of most vocabularies."""
+    return np.uint16 if end_of_text(vocabulary) < 1 << 16 else np.uint32
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, data, off in chunks(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count_words(data, off) + 1)], ["doc_id", "n_tokens"])
+def _pieces(told, capacity: int):
+    """(doc_id, first_token, n_tokens, ids as bytes): the tokens of each document and an end mark, cut into pieces of `capacity` and what is left."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = told.value
+        kind, end = id_type(vocabulary), end_of_text(vocabulary)
+        for batch in batches:
+            for lo, hi, _, _ in chunks(batch.column(1)):
+                row, first, size, raw = [], [], [], []
+                for i, text in enumerate(texts_of(batch.column(1).slice(lo, hi - lo)), lo):
+                    ids = np.append(encode(vocabulary, text), end).astype(kind)
+                    for at in range(0, len(ids), capacity):
+                        part = ids[at : at + capacity]
+                        row.append(i)
+                        first.append(at)
+                        size.append(len(part))
+                        raw.append(part.tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(first, pa.int64()), pa.array(size, pa.int32()), pa.array(raw, pa.binary())], ["doc_id", "first_token", "n_tokens", "ids"])
+
+    return run
+
+
+def _packed(capacity: int, kind: type):
+    """The bins of one group, each a row."""
 
-def _packed(capacity: int):
     def run(key, table):
-        order = table.sort_by([("n_tokens", "descending"), ("doc_id", "ascending")])
-        tokens = order.column("n_tokens").to_numpy()
-        pieces = -(-tokens // capacity)
-        row = np.repeat(np.arange(len(tokens)), pieces)
-        piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        size = np.minimum(tokens[row] - piece * capacity, capacity)
-        which, offset = first_fit_decreasing(size, capacity)
-        ids = order.column("doc_id").combine_chunks().take(pa.array(row))
-        group = pa.array(np.full(len(row), key[0].as_py()), pa.int64())
-        return pa.Table.from_arrays([ids, pa.array(piece), pa.array(piece * capacity), pa.array(size), group, pa.array(which), pa.array(offset)], ["doc_id", "piece", "first_token", "n_tokens", "grp", "bin", "offset"])
+        table = table.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("first_token", "ascending")])
+        which, offset = first_fit_decreasing(table.column("n_tokens").to_numpy(), capacity)
+        order = np.lexsort((offset, which))
+        table, which, offset = table.take(pa.array(order)), which[order], offset[order]
+        bins = int(which[-1]) + 1
+        piece = np.searchsorted(which, np.arange(bins + 1))
+        token = np.concatenate(([0], np.cumsum(table.column("n_tokens").to_numpy(), dtype=np.int64)))[piece]
+        ids = np.frombuffer(b"".join(x.as_buffer() for x in table.column("ids")), kind).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(piece.astype(np.int32)), x) for x in (table.column("doc_id").combine_chunks(), table.column("first_token").combine_chunks(), pa.array(offset.astype(np.int32)))]
+        return pa.Table.from_arrays([pa.array(np.full(bins, key[0].as_py()), pa.int64()), pa.array(np.arange(bins)), pa.array(np.diff(token).astype(np.int32)), *lists, list_array(ids, token)], ["grp", "bin", "n_tokens", "doc_ids", "first_tokens", "offsets", "input_ids"])
 
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, salt: int = 0) -> DataFrame:
-    """(doc_id, piece, first_token, n_tokens, grp, bin, offset): where each document goes, in bins of `capacity` tokens.
+def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, salt: int = 0, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(grp, bin, n_tokens, doc_ids, first_tokens, offsets, input_ids): training sequences of at most `capacity` token ids.
+
+    A document has the tokens of its text and an end mark; one that is longer than a sequence is cut into pieces of a whole sequence each and
+    what is left. Pieces fall into random groups of about `group` documents (fewer where texts are long, so that a group has some 64 MB of
+    text), and the pieces of each group are packed first-fit decreasing, of equal ones the smaller doc_id first. Entry i of the three lists tells of
+    the i-th piece in a sequence: its document, which of the document's tokens it begins with, and where in input_ids it begins; attention and
+    loss are to be cut at these offsets.
 
-    A document has its words (runs without white space) and an end mark; one that is longer than a bin is cut into pieces of a bin each and
-    what is left. Documents fall by a hash of doc_id, or of the text where that is null, into groups of about `group`, and the pieces of
-    each group are packed first-fit decreasing, of equal ones the smaller doc_id first. Null and empty texts take one token. Rows that
-    repeat are packed each; a null doc_id stays null. No documents, no rows. Other columns are not looked at.
+    Null and empty texts are an end mark. Rows that repeat are packed each, and are spread over the groups; a null doc_id stays null. No
+    documents, no rows. Other columns are not looked at. The groups are drawn by a seeded sequence for each partition of `docs`, which is to be a
+    table of files, so that a task that runs again draws the same.
     """
-    stash = Stash(docs.sparkSession)
+    told = docs.sparkSession.sparkContext.broadcast(ranks(tokenizer))  # a vocabulary, some 1 MB
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(salt))).otherwise(F.xxhash64("doc_id", F.lit(salt)))
-    sizes = stash.put(text.withColumn("key", key).select(F.struct("doc_id", "key").alias("doc_id"), "text").mapInArrow(_sizes, "doc_id struct<doc_id: long, key: long>, n_tokens long").select("doc_id.*", "n_tokens"))
-    groups = max(1, round(sizes.count() / group))
-    keyed = sizes.select(F.pmod("key", F.lit(groups)).alias("grp"), "doc_id", "n_tokens")
-    out = keyed.groupBy("grp").applyInArrow(_packed(capacity), "doc_id long, piece long, first_token long, n_tokens long, grp long, bin long, offset long")
-    return stash.finish(out)
+    size = text.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    groups = max(1, round(size["rows"] / group), -(-size["bytes"] // GROUP_BYTES))
+    pieces = text.mapInArrow(_pieces(told, capacity), "doc_id long, first_token long, n_tokens int, ids binary")
+    keyed = pieces.withColumn("grp", F.floor(F.rand(salt) * groups).cast("long"))
+    return keyed.groupBy("grp").applyInArrow(_packed(capacity, id_type(told.value)), "grp long, bin long, n_tokens int, doc_ids array<long>, first_tokens array<long>, offsets array<int>, input_ids array<int>")

@@ -23,8 +23,6 @@ _powers: dict[str, np.ndarray] = {}
 #: ASCII letters in lower case.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Word bytes once a text is in lower case: ASCII letters, digits, underscore, and all bytes of characters beyond ASCII.
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
