@@ -86,9 +86,17 @@ select doc_id, min(i) - 1 as first_word, max(i) + 50 - min(i) as n_words from is
 """
 
 OP5_SQL = """
-select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity
-from embeddings a join embeddings b on a.vec_id < b.vec_id and len(a.embedding) = len(b.embedding)
-where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.9
+with recursive vectors as (
+    select *, row_number() over (order by vec_id, e) as r
+    from (select distinct vec_id, embedding::double[] as e from embeddings where vec_id is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))) and list_bool_or(list_transform(embedding, lambda x: x <> 0)))
+), links as (
+    select a.r as a, b.r as b from vectors a join vectors b on a.r <> b.r and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9
+), reach as (
+    select r, r as s from vectors union select reach.r, links.b from reach join links on links.a = reach.s
+), classes as (
+    select reach.r, min(v.vec_id) as class_id from reach join vectors v on v.r = reach.s group by reach.r
+)
+select vec_id, class_id, (select count(*) from links where links.a = r) as n_links from vectors join classes using (r)
 """
 
 ORACLE_SQL: dict[str, str] = {
