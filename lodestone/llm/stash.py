@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,12 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the context's checkpoint folder; only where neither is set (tests on one machine) a new folder."""
+    """spark.checkpoint.dir, or the context's checkpoint folder; where neither is set a new folder in local mode, and an error on a cluster."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if there is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         there = tempfile.mkdtemp(prefix="lodestone-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(there)
@@ -37,13 +40,22 @@ class Stash:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def close(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.base)
+    def _delete(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def close(self) -> None:
+        self._delete(self.base)
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """The result as a table, after which the tables before it go; it stays until whoever owns the folder removes it."""
+        out = self.put(df)
+        for i in range(1, self.n):
+            self._delete(f"{self.base}/{i}")
+        return out
+
     def finish(self, df: DataFrame) -> DataFrame:
-        """The result, checkpointed, after which the tables it was made from go."""
+        """The result, checkpointed, after which the tables it was made from go. The checkpoint stays until Spark's cleaner or whoever owns the folder removes it."""
         out = df.checkpoint(eager=True)
         self.close()
         return out
@@ -57,18 +69,22 @@ def small(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def components(edges: DataFrame, stash: Stash) -> DataFrame:
     """(id, root): the smallest id of the connected component, for each id that `edges` (a, b) name.
 
-    Alternates large-star and small-star rounds (Kiveris et al. 2014) until the edges stop changing.
+    Alternates large-star and small-star rounds (Kiveris et al. 2014) until the edges stop changing. The smallest neighbour of a vertex is aggregated
+    before the shuffle and joined back from a table, so that a vertex with many edges is split by the skew join.
     """
-    from pyspark.sql import Window as W
+
+    def smallest(pairs: DataFrame) -> DataFrame:
+        return stash.put(pairs.groupBy("u").agg(F.min("v").alias("m")))
 
     now = stash.put(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(W.partitionBy("u")))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.filter("u <> v").distinct().withColumn("m", F.min("v").over(W.partitionBy("u")))
-        star = F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-        now = stash.put(least.select(star.alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
+        large = both.filter("v > u").join(smallest(both), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct()
+        large = stash.put(large)
+        low = smallest(large)
+        star = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        now = stash.put(star.filter("u <> v").distinct())
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(new) == mark:
             break

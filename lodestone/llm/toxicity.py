@@ -293,8 +293,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, counterfactual
     return replace(fit(y, [vocab[np.frombuffer(x, np.int32)] for x in got["words"]], pairs, counterfactual), terms=terms)
 
 
-def scored(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
-    """`docs` with a column for the score; a null text scores as an empty one."""
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """`docs` with its columns named c0, c1 and so on, and a last one `score`."""
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -302,13 +302,19 @@ def scored(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame
             out = np.zeros(batch.num_rows)
             for lo, hi, data, off in chunks(batch.column(batch.num_columns - 1)):
                 out[lo:hi] = told.value.score(data, off)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], column])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "score"])
 
     names = [f"c{i}" for i in range(len(docs.columns))]
     flat = docs.toDF(*names)
     text = F.coalesce(flat[names[docs.columns.index("text")]], F.lit("")).cast("binary")
-    made = flat.withColumn("__text", text).mapInArrow(run, plus(flat.schema, column, T.DoubleType()))
-    return made.toDF(*docs.columns, column)
+    return flat.withColumn("__text", text).mapInArrow(run, plus(flat.schema, "score", T.DoubleType()))
+
+
+def scored(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
+    """`docs` with a column for the score; a null or empty text has the score of a text without words. A column of that name must not be there already."""
+    if column.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {column!r} already")
+    return _scored(docs, model).toDF(*docs.columns, column)
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 8000, counterfactual: float = 1.0) -> DataFrame:
@@ -324,6 +330,9 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 8000, counterfactual: float = 1.0) -> DataFrame:
-    """The rows of `docs` that toxic_documents() would not name, with all their columns."""
-    name = "__toxicity"
-    return scored(docs, train(docs, labels, sample, counterfactual), name).filter(~(F.col(name) >= threshold)).drop(name)
+    """The rows of `docs` that toxic_documents() would not name, with all their columns, whatever these are called.
+
+    Rows with a null or empty text are scored as texts without words, those with a null doc_id as any; rows that repeat stay or go together. Of an
+    empty table nothing is left, and without a labelled toxic document all rows stay.
+    """
+    return _scored(docs, train(docs, labels, sample, counterfactual)).filter(~(F.col("score") >= threshold)).drop("score").toDF(*docs.columns)
