@@ -1,4 +1,8 @@
-"""Raw documents to packed training sequences: toxicity, near copies, secrets, mixture, packing."""
+"""Raw documents to packed training sequences: toxicity, near copies, secrets, mixture, packing.
+
+Every stage takes any table with the columns of `documents`, more columns too, whatever they are called. Rows with a null doc_id or text pass all stages
+but the draw of the mixture, which any row may fail; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -17,22 +21,27 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the toxicity classifier doesn't reject."""
     return toxicity.without_toxic(docs, _labels(spark, sf_dir))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies; rows without doc_id or text stay."""
     return near.without_near_duplicates(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with secrets replaced in the text."""
     return secrets.without_secrets(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as its rate asks for; a row may come more than once, or not at all."""
     return mixing.mixed(docs, _labels(spark, sf_dir))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences of token ids: (grp, bin, n_tokens, doc_ids, first_tokens, offsets, input_ids)."""
     return packing.pack(docs)
 
 
@@ -54,4 +63,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = stash.put(stage(spark, docs, sf_dir))
-    return stash.finish(STAGES[-1][1](spark, docs, sf_dir))
+    return stash.last(STAGES[-1][1](spark, docs, sf_dir))
