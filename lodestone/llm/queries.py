@@ -50,7 +50,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+    return graph.nearest_neighbours(table(spark, sf_dir, "embeddings"), every=20)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
