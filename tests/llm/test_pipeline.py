@@ -1,10 +1,12 @@
 """The pipeline's stages, each by what it must do to its own input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from lodestone.llm import near, secrets, toxicity
+from lodestone.llm import near, packing, secrets, toxicity
+from test_operators import unpacked, whole_texts
 
 SF = "/root/testdata/sf0.01"
 
@@ -62,7 +64,31 @@ def test_mixture_draws_whole_documents(stages):
 
 def test_packing_has_every_row(stages):
     before, after = stages["packing"]
-    assert after.filter("piece = 0").count() == before.count()
+    texts = {}
+    for r in before.collect():
+        texts.setdefault(r["doc_id"], []).append(r["text"] or "")
+    pieces, bins = unpacked(after.collect())
+    assert whole_texts(pieces) == {i: t[0] for i, t in texts.items()}
+    assert {i: len(p) for (i, f), p in pieces.items() if f == 0} == {i: len(t) for i, t in texts.items()}
+    assert all(sum(b) <= packing.CAPACITY for own in bins.values() for b in own.values())
+
+
+def awkward_docs(spark):
+    rows = [(1, "a few words"), (1, "a few words"), (2, "a few words"), (None, "no id"), (3, None), (None, None), (4, ""), (5, "w " * 30000), (6, "other text"), (6, "unlike it")]
+    clash = ("score", "__toxicity", "toxicity", "digest", "__rate", "grp", "c0", "tokens")
+    return spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(1) for c in clash})
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_awkward_tables(spark, tmp_path, empty):
+    docs = awkward_docs(spark).limit(0) if empty else awkward_docs(spark)
+    columns, n = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert name == "packing" or docs.columns == columns
+        n.append(docs.count())
+    assert n[:3] == ([0, 0, 0] if empty else [10, 8, 8]) and (n[4] == 0) == empty
 
 
 def test_run_is_registered(spark):
