@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.stash import Stash
+from lodestone.llm.stash import Stash, collect_garbage
 from lodestone.llm.textkit import binary_rows, buffers
 from lodestone.llm.vectors import usable, valid
 
@@ -209,12 +208,6 @@ def _local(take: int, k: int):
     return run
 
 
-def _collect_garbage(spark) -> None:
-    """Lets go of the shuffle files of plans that are no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 _GRAPH = "id long, code binary, list binary, bar float, grown long"
 
 
@@ -244,7 +237,7 @@ def neighbour_graph(codes: DataFrame, rows: int, stash: Stash, k: int = NEIGHBOU
         around = both.join(told, "member").groupBy("at").agg(F.collect_list(F.struct("member", "new", "bar", "code")).alias("members"))  # k + reverse at most
         sent = around.mapInArrow(_local(max(4, k // 3), k), "id long, list binary").groupBy("id").agg(F.collect_list("list").alias("more"))
         graph = stash.put(graph.select("id", "code", "list").join(sent, "id", "left").mapInArrow(_merged(k, True), _GRAPH))
-        _collect_garbage(codes.sparkSession)
+        collect_garbage(codes.sparkSession)
         if (graph.agg(F.sum("grown")).first()[0] or 0) < tolerance * rows * k:
             break
     return graph
@@ -342,7 +335,7 @@ def greedy_search(queries: DataFrame, graph: DataFrame, links: DataFrame, codes:
         unseen = beams.select("id", F.col("list").alias("beam")).join(met, "id").select("id", "beam", "links").mapInArrow(_unseen, "id long, member long")
         news = unseen.join(codes.select(F.col("id").alias("member"), "code"), "member").groupBy("id").agg(F.collect_list(F.struct("member", "code")).alias("members"))
         beams = stash.put(beams.join(news, "id", "left").select("id", "code", "list", "members").mapInArrow(_stepped(beam, expanded), "id long, code binary, list binary"))
-        _collect_garbage(queries.sparkSession)
+        collect_garbage(queries.sparkSession)
 
 
 def _pairs(k: int):

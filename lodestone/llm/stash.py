@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -61,6 +62,12 @@ class Stash:
         return out
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of plans that are no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`ids` (a stashed table of narrow rows), marked for broadcast if it has few enough rows."""
     return F.broadcast(ids) if ids.count() <= rows else ids
