@@ -132,6 +132,11 @@ def within_distance(a: Column, b: Column, most: int) -> Column:
     return (F.abs(F.char_length(a) - F.char_length(b)) <= most) & (F.levenshtein(a, b, most) >= 0)
 
 
+def normalize_term(c: Column) -> Column:
+    """A term as it is looked up: lower case, without blanks around it."""
+    return F.trim(F.lower(c))
+
+
 def number_of(c: Column, kind: T.DataType) -> Column:
     """A value as a number for range facets: text is parsed (blank text is 0), dates are milliseconds; null for others."""
     if isinstance(kind, T.NumericType):

@@ -65,8 +65,14 @@ def fuzzy_terms(dictionary: DataFrame, field: str, token: str, distance: int = 2
     return own.select("term", far.alias("distance")).filter("distance >= 0").orderBy("distance", "term")
 
 
+def by_prefix(postings: DataFrame, field: str, prefix: str) -> DataFrame:
+    """(doc_id, terms): for each document the terms of a field that begin with `prefix`, with how often and where they stand."""
+    own = postings.filter((F.col("field") == field) & F.col("term").startswith(prefix))
+    return own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "tf", "positions"))).alias("terms"))
+
+
 def scores(postings: DataFrame, tokens: Sequence[str], fields: Sequence[str], weights: Mapping[str, float], stats: Mapping[str, float], k1: float, b: float, distance: int) -> DataFrame:
-    """(doc_id, raw_score, kind, matched_tokens): the sum over fields, tokens and the terms each matches.
+    """(doc_id, raw_score, kind, matched_tokens): the sum over fields, tokens and the terms each matches; postings have df.
 
     Tokens and fields that repeat count again. `kind` is the best class of all matches; matched tokens are in the order in which they first contribute.
     """

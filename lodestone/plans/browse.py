@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.filters import compile_filter
-from lodestone.operators.sorting import order, page
+from lodestone.operators.sorting import page
 from lodestone.plans.index import SearchIndex
 
 
@@ -33,5 +33,5 @@ def browse(index: SearchIndex, filter: Any = None, sort: Mapping | None = None,
     own = index.docs.select("doc_id", "seq", "doc")
     if filter is not None:
         own = own.filter(compile_filter(index.doc_schema, filter, root=F.col("doc")))
-    by = [order(index.doc_schema, sort, F.col("doc")), F.col("doc_id")] if sort else [F.col("seq")]
+    by = [index.order(sort), F.col("doc_id")] if sort else [F.col("seq")]
     return BrowseResult(page(own.orderBy(*by), limit, offset).select("doc.*"), own, limit, offset)

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.config import FieldConfig, IndexConfig, TokenizerConfig
-from lodestone.functions.analysis import STOPWORDS, fuzzy_distance, fuzzy_distance_column, query_tokens, tokens
+from lodestone.functions.analysis import STOPWORDS, date_of, field_text, fuzzy_distance, fuzzy_distance_column, normalize_term, query_tokens, tokens, within_distance
 from lodestone.operators import scoring
 from lodestone.operators.facets import date_facet, range_facet, terms_facet
 from lodestone.operators.filters import filter_documents
+from lodestone.operators.highlight import quoted
+from lodestone.operators.sorting import sort_documents
 from lodestone.plans.index import SearchIndex
 from lodestone.plans.manager import IndexManager
+from lodestone.plans.search import ranked
+from lodestone.sources import storage
+from lodestone.streaming.upserts import start_upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,7 +57,7 @@ def add(name: str, query: Query, sql: str | None = None) -> None:
         ORACLE_SQL[name] = sql
 
 
-# -- SQL of the index and of scores ---------------------------------------------------------------------------------
+# -- SQL of the index and of scores
 
 
 def quote(s: str) -> str:
@@ -153,7 +162,7 @@ add("search_matched_tokens", lambda s, d: index_of(s, d, "P").search("widget anv
 found as (select p.doc_id, m.ord, min(['p_name', 'p_brand', 'p_type'].list_position(m.field) * 10 + m.ord) as place from matched m join post p using (field, term) group by all)
 select doc_id, string_agg(['widget', 'anvil'][ord + 1], ' ' order by place) as found from (select doc_id from scored order by round(score, 12) desc, doc_id limit 25) join found using (doc_id) group by doc_id""")
 
-# -- analysis and index tables --------------------------------------------------------------------------------------
+# -- analysis and index tables
 
 add(
     "tokenize_positions",
@@ -173,9 +182,9 @@ select field, term, doc_id, count(*) as tf, string_agg(pos::varchar, ' ' order b
 add("term_count", lambda s, d: index_of(s, d, "D").dictionary.agg(F.count("*").alias("term_count")), f"with {sql_index('D')} select count(*) as term_count from dict")
 add("trie_node_count", lambda s, d: index_of(s, d, "P").trie_nodes().agg(F.count("*").alias("trie_node_count")), f"with {sql_index('P')} select count(distinct word[:i]) as trie_node_count from (select term as word, unnest(range(1, len(term) + 1)) as i from dict where len(term) >= 2)")
 add("document_count", lambda s, d: index_of(s, d, "D").docs.agg(F.count("*").alias("document_count")), "select count(*) as document_count from documents")
-add("memory_estimate", lambda s, d: index_of(s, d, "P").docs.agg(F.sum(F.char_length(F.to_json("doc")) * 2 + 200).alias("memory_estimate_bytes")))
+add("memory_estimate", lambda s, d: index_of(s, d, "P").docs.agg(F.sum(F.char_length(F.to_json("doc")) * 2 + 200).alias("memory_estimate_bytes")), "select sum(len(to_json(part)::varchar) * 2 + 200)::bigint as memory_estimate_bytes from part")
 
-# -- expansion ------------------------------------------------------------------------------------------------------
+# -- expansion
 
 add("expand_term", lambda s, d: scoring.expand(index_of(s, d, "D").dictionary, "text", "worthless"), f"with {sql_index('D')} select term, df, ['exact', 'prefix', 'fuzzy'][kind + 1] as match_type, levenshtein(term, 'worthless')::int as distance from (select *, {sql_kind('term', 'worthless')} as kind from dict where field = 'text') where kind is not null")
 add("fuzzy_terms", lambda s, d: scoring.fuzzy_terms(index_of(s, d, "P").dictionary, "p_name", "widgot"), f"with {sql_index('P')} select term, levenshtein(term, 'widgot')::int as distance from dict where field = 'p_name' and levenshtein(term, 'widgot') <= 1")
@@ -195,7 +204,7 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
 
 
-# -- filters --------------------------------------------------------------------------------------------------------
+# -- filters
 
 
 def add_filter(name: str, source: str, key: str, f: Any, where: str) -> None:
@@ -249,7 +258,7 @@ for _name, _f, _where in (
 ):
     add(f"filter_nulls_{_name}", lambda s, d, f=_f: filter_documents(_with_nulls(s, d), f).select("event_id"), f"select event_id from {_NULLS} where {_where}")
 
-# -- facets ---------------------------------------------------------------------------------------------------------
+# -- facets
 
 ISO = "'%Y-%m-%dT%H:%M:%S.000Z'"
 add("facet_terms", lambda s, d: terms_facet(table(s, d, "part"), "p_brand", 5), "select p_brand as key, count(*) as count from part group by 1 order by 2 desc, 1 limit 5")
@@ -263,7 +272,7 @@ for _unit, _source, _column, _cut in (("day", "events", "ts", "date_trunc('day',
     add(f"facet_date_{_unit}", lambda s, d, t=_source, c=_column, u=_unit: date_facet(table(s, d, t), c, u), f"select strftime({_cut}::timestamp, {ISO}) as key, count(*) as count from {_source} group by 1")
 add("facet_ignores_query", lambda s, d: index_of(s, d, "P").search("anvil", filter=_is("p_size", "lte", 20), facets={"p_brand": {"type": "terms", "size": 3}}).facets["p_brand"], "select p_brand as key, count(*) as count from part where p_size <= 20 group by 1 order by 2 desc, 1 limit 3")
 
-# -- highlighting ---------------------------------------------------------------------------------------------------
+# -- highlighting
 
 
 def _highlighted(spark: SparkSession, sf_dir: str, corpus: str, query: str, field: str) -> DataFrame:
@@ -277,13 +286,13 @@ page as (select doc_id, text, instr(lower(text), 'loser') - 1 as place, len(text
 cut as (select *, greatest(0, place - 30) as a, least(n, greatest(0, place - 30) + 160) as b from page)
 select doc_id, regexp_replace(case when a > 0 then '…' else '' end || text[a + 1:b] || case when b < n then '…' else '' end, 'loser', '<mark>\\0</mark>', 'gi') as snippet, 'loser' as found from cut""")
 
-# -- suggestions ----------------------------------------------------------------------------------------------------
+# -- suggestions
 
 
-def sql_suggest(q: str, most: int = 10) -> str:
+def sql_suggest(q: str, most: int = 10, source: str | None = None) -> str:
     d = fuzzy_distance(len(q), 2)
     near = f" union all select word, frequency, 2 as kind, levenshtein(word, '{q}') as distance from words where not starts_with(word, '{q}') and abs(len(word) - {len(q)}) <= {d} and levenshtein(word, '{q}') <= {d} and (select count(*) from begins) < 3" if d else ""
-    return f"""with {sql_index('P')},
+    return f"""with {sql_index('P', source)},
 words as (select term as word, count(*) as frequency from post where len(term) >= 2 group by term),
 begins as (select word, frequency, case when word = '{q}' then 0 else 1 end as kind, 0 as distance from words where starts_with(word, '{q}') order by frequency desc, word limit {2 * most}),
 best as (select * from (select * from begins{near}) order by kind, frequency desc, word limit {most})
@@ -293,7 +302,7 @@ select word as text, ['exact', 'prefix', 'fuzzy'][kind + 1] as match_type, frequ
 for _name, _q in (("prefix", "r"), ("exact_first", "red"), ("fuzzy_fallback", "widgot"), ("doc_ids", "brand"), ("nothing", "zzzzzz")):
     add(f"suggest_{_name}", lambda s, d, q=_q: index_of(s, d, "P").suggest(q).withColumn("document_ids", F.array_join("document_ids", " ")), sql_suggest(_q))
 
-# -- browsing and documents -----------------------------------------------------------------------------------------
+# -- browsing and documents
 
 add("browse_filter_sort_page", lambda s, d: index_of(s, d, "P").browse(filter=_is("p_size", "gt", 40), sort={"field": "p_retailprice", "direction": "desc"}, limit=15, offset=5).documents.select("p_partkey", "p_name", "p_retailprice"), "select p_partkey, p_name, p_retailprice from part where p_size > 40 order by p_retailprice desc, p_partkey::varchar limit 15 offset 5")
 add("browse_sort_date", lambda s, d: _order_index(s, d).browse(sort={"field": "o_orderdate", "direction": "asc", "type": "date"}, limit=20).documents.select("o_orderkey"), "select o_orderkey from orders order by o_orderdate, o_orderkey::varchar limit 20")
@@ -307,7 +316,7 @@ def _order_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
     return SearchIndex.build(table(spark, sf_dir, "orders"), IndexConfig.of(["o_orderpriority"], id_col="o_orderkey"), unique_ids=True)
 
 
-# -- changes --------------------------------------------------------------------------------------------------------
+# -- changes
 
 _CHANGED = "(select p_partkey, case when p_partkey % 10 = 3 then 'renamed gizmo' else p_name end as p_name, p_brand, p_type, p_size, p_retailprice from part where p_partkey % 10 <> 4)"
 
@@ -334,7 +343,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("stream_last_changes", _streamed, "select user_id::varchar as doc_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1 and event_type <> 'click'")
 
-# -- several indexes, batches, hooks --------------------------------------------------------------------------------
+# -- several indexes, batches, hooks
 
 
 def _searched_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,3 +372,150 @@ def _hooked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _stem = lambda e: "list_filter(list_transform(list_filter(regexp_split_to_array(lower(regexp_replace(" + e + ", '[0-9]', '', 'g')), '[^\\p{L}\\p{N}'']+'), lambda t: t <> ''), lambda t: regexp_replace(t, 's$', '')), lambda t: len(t) >= 2 and t not in (" + ", ".join(quote(w) for w in sorted(STOPWORDS)) + "))"
 add("hooks_stemmer_normalizer_extract", _hooked, f"select field, term, count(*) as df from (select distinct p_partkey, field, unnest(toks) as term from (select p_partkey, 'p_name' as field, {_stem('p_name')} as toks from part union all select p_partkey, 'both', {_stem("p_name || ' ' || p_type")} from part)) group by all")
+
+add("hook_id_expr", lambda s, d: _parts(s, d, {"p_name": {}}, id_expr=F.concat_ws("-", "p_brand", F.col("p_partkey").cast("string"))).docs.select("doc_id"), "select p_brand || '-' || p_partkey::varchar as doc_id from part")
+add("hook_tokenize", lambda s, d: _parts(s, d, {"p_name": {}, "p_type": {}}, id_col="p_partkey", tokenizer=TokenizerConfig(tokenize=lambda t: F.split(F.upper(t), "[ #]"))).dictionary.select("field", "term", "df"), "select field, term, count(*) as df from (select distinct p_partkey, field, unnest(string_split(upper(v), ' ')) as term from (select p_partkey, 'p_name' as field, p_name as v from part union all select p_partkey, 'p_type', p_type from part)) group by all")
+add("hook_stopwords", lambda s, d: _parts(s, d, {"p_name": {}}, id_col="p_partkey", tokenizer=TokenizerConfig(stopwords=("red", "ring", "the"))).dictionary.select("term", "df"), "select term, count(distinct p_partkey) as df from (select p_partkey, unnest(string_split(p_name, ' ')) as term from part) where term not in ('red', 'ring', 'the') and len(term) >= 2 group by term")
+
+
+def _parts(spark: SparkSession, sf_dir: str, fields: Any, **options: Any) -> SearchIndex:
+    return SearchIndex.build(table(spark, sf_dir, "part"), IndexConfig.of(fields, **options), unique_ids=True)
+
+
+# -- documents with structs, arrays and maps
+
+_NESTED = """(select p_partkey, p_name, p_brand, p_type, p_size, string_split(p_name, ' ') as words from part)"""
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as (id, info<size, words, more<brand>>, labels: a map)."""
+    info = F.struct(F.col("p_size").alias("size"), F.split("p_name", " ").alias("words"), F.struct(F.col("p_brand").alias("brand")).alias("more"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), info.alias("info"), F.create_map(F.lit("kind"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string")).alias("labels"))
+
+
+def _add_path(name: str, f: Any, where: str) -> None:
+    add(f"filter_path_{name}", lambda s, d: filter_documents(_nested(s, d), f).select("id"), f"select p_partkey as id from {_NESTED} where {where}")
+
+
+_add_path("struct", _is("info.more.brand", "eq", "Brand#1"), "p_brand = 'Brand#1'")
+_add_path("number", _is("info.size", "gte", 30), "p_size >= 30")
+_add_path("array_item", _is("info.words.1", "eq", "ring"), "words[2] = 'ring'")
+_add_path("map", _is("labels.kind", "startsWith", "eco"), "starts_with(lower(p_type), 'eco')")
+_add_path("missing", {"NOT": _is("info.none.brand", "exists")}, "true")
+NESTED_FIELDS = {"words": FieldConfig(path="info.words", weight=2.0), "brand": FieldConfig(path="info.more.brand"), "labels": FieldConfig(), "info": FieldConfig(suggest=False)}
+_FLAT = {"words": "p_name", "brand": "p_brand", "labels": "p_type || ' ' || p_size::varchar", "info": "p_size::varchar || ' ' || p_name || ' ' || p_brand"}
+_flat_terms = " union all ".join(f"select p_partkey::varchar as doc_id, '{f}' as field, unnest({sql_tokens(e)}) as term from part" for f, e in _FLAT.items())
+add("nested_postings", lambda s, d: _nested_index(s, d).postings.select("field", "term", "doc_id", F.col("tf").cast("long").alias("tf")), f"select field, term, doc_id, count(*) as tf from ({_flat_terms}) group by all")
+add("nested_search", lambda s, d: _nested_index(s, d).search("anvil", fields=["words"], limit=None, filter=_is("info.size", "lt", 25), highlight=False).hits.select("doc_id", "match_type"), "select p_partkey::varchar as doc_id, 'exact' as match_type from part where p_size < 25 and list_contains(string_split(p_name, ' '), 'anvil')")
+add("nested_highlight", lambda s, d: _nested_index(s, d).search("anvil", fields=["words"], limit=None).hits.select("doc_id", F.explode("highlights").alias("h")).select("doc_id", "h.field", "h.snippet"), "select p_partkey::varchar as doc_id, 'words' as field, regexp_replace(p_name, 'anvil', '<mark>\\0</mark>', 'gi') as snippet from part where contains(p_name, 'anvil')")
+add("field_values", lambda s, d: _nested(s, d).select("id", *(field_text(_nested(s, d), n, FieldConfig(path=path)).alias(n) for n, path in (("first", "info.words.0"), ("brand", "info.more.brand"), ("size", "info.size"), ("all_words", "info.words"), ("kind", "labels.kind"), ("none", "info.absent.x")))), f"select p_partkey as id, words[1] as first, p_brand as brand, p_size::varchar as size, p_name as all_words, p_type as kind, '' as none from {_NESTED}")
+
+
+def _nested_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    return SearchIndex.build(_nested(spark, sf_dir), IndexConfig.of(NESTED_FIELDS, id_col="id"), unique_ids=True)
+
+
+# -- orders of texts, dates and terms of other kinds
+
+
+def _sorted(name: str, column: Any, sort: Mapping, by: str) -> None:
+    add(name, lambda s, d: _sort_rows(s, d, column(), sort), f"select p_partkey, (row_number() over (order by {by}, p_partkey))::int as place from part qualify place <= 40")
+
+
+def _sort_rows(spark: SparkSession, sf_dir: str, column: Any, sort: Mapping) -> DataFrame:
+    df = table(spark, sf_dir, "part").withColumn("v", column)
+    rows = sort_documents(df, {"field": "v", **sort}, "p_partkey").select("p_partkey").limit(40).collect()  # the first page
+    return spark.createDataFrame([(r[0], i + 1) for i, r in enumerate(rows)], "p_partkey long, place int")
+
+
+_price = lambda: F.format_string("%.1f", "p_retailprice")
+_sorted("sort_text_auto_numbers", lambda: F.col("p_size").cast("string"), {"direction": "asc"}, "p_size")
+_sorted("sort_text_auto_mixed", lambda: F.when(F.col("p_size") < 40, F.col("p_size").cast("string")).otherwise(F.lit("many")), {"direction": "asc"}, "(case when p_size < 40 then p_size::varchar else 'many' end) collate \"C\"")
+_sorted("sort_text_as_number", _price, {"direction": "desc", "type": "number"}, "p_retailprice desc")
+_sorted("sort_text_as_date", lambda: F.date_format(F.make_date(F.lit(2000), F.col("p_size") % 12 + 1, F.lit(5)), "yyyy-MM-dd"), {"direction": "desc", "type": "date"}, "p_size % 12 desc")
+add("parse_dates", lambda s, d: table(s, d, "orders").select("o_orderkey", *(F.date_format(date_of(c, k), "yyyy-MM-dd HH:mm:ss").alias(n) for n, c, k in (("text", F.date_format("o_orderdate", "yyyy-MM-dd"), T.StringType()), ("millis", F.unix_millis(F.col("o_orderdate").cast("timestamp")), T.LongType()), ("day", F.to_date("o_orderdate"), T.DateType()), ("wrong", F.col("o_orderpriority"), T.StringType())))), "select o_orderkey, strftime(o_orderdate::date, '%Y-%m-%d %H:%M:%S') as text, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as millis, strftime(o_orderdate::date, '%Y-%m-%d %H:%M:%S') as day, null::varchar as wrong from orders")
+add("normalize_term", lambda s, d: table(s, d, "customer").select("c_custkey", normalize_term(F.concat(F.lit("  "), "c_mktsegment", F.lit(" "))).alias("term")), "select c_custkey, lower(c_mktsegment) as term from customer")
+add("escape_regex", lambda s, d: table(s, d, "part").select("p_partkey", *(F.regexp_replace(F.concat(F.col("p_brand"), F.lit(f" {x}")), quoted(F.lit(x)), F.lit("!")).alias(n) for n, x in _SIGNS.items())), "select p_partkey, " + ", ".join(f"p_brand || ' !' as {n}" for n in ("dot", "stars", "group", "quote")) + " from part")
+_SIGNS = {"dot": "a.b", "stars": "**+?", "group": "([x]|{1})^$", "quote": "\\E\\Q"}
+add("is_fuzzy_match", lambda s, d: _words(s, d).select("word", *(within_distance(F.col("word"), F.lit(w), n).alias(f"{w}_{n}") for w, n in (("rang", 1), ("widgets", 1), ("bule", 2)))), "with w as (select distinct unnest(string_split(p_name, ' ')) as word from part) select word, levenshtein(word, 'rang') <= 1 as rang_1, levenshtein(word, 'widgets') <= 1 as widgets_1, levenshtein(word, 'bule') <= 2 as bule_2 from w")
+add("postings_by_prefix", lambda s, d: scoring.by_prefix(index_of(s, d, "P").postings, "p_name", "r").select("doc_id", F.array_join(F.transform("terms", lambda t: F.concat_ws(":", t["term"], t["tf"])), " ").alias("terms")), f"with {sql_index('P')} select doc_id, string_agg(term || ':' || tf::varchar, ' ' order by term) as terms from post where field = 'p_name' and starts_with(term, 'r') group by doc_id")
+_scored = lambda i, q: ranked(i, i.query_tokens(q), list(i.config.fields), None, False)
+add("merge_scores", lambda s, d: scoring.merged(_scored(index_of(s, d, "P"), "ring"), _scored(index_of(s, d, "P"), "widget ring"), _scored(index_of(s, d, "P"), "anvil")).select("doc_id", F.round("raw_score", 6).alias("raw_score")), "select doc_id, round(sum(raw_score), 6) as raw_score from (" + " union all ".join(f"select doc_id, raw_score from ({sql_raw('P', q, boost=False)} select * from scored)" for q in ("ring", "widget ring", "anvil")) + ") group by doc_id")
+_GONE = "(select * from part where p_partkey % 3 <> 0 and not contains(p_name, 'red'))"
+add("suggest_after_removal", lambda s, d: index_of(s, d, "P").remove_all(table(s, d, "part").filter("p_partkey % 3 = 0 or contains(p_name, 'red')").select(F.col("p_partkey").cast("string").alias("doc_id"))).suggest("r").withColumn("document_ids", F.array_join("document_ids", " ")), sql_suggest("r", source=_GONE))
+add("suggest_after_clear", lambda s, d: index_of(s, d, "P").clear().suggest("r").select("text", "frequency"), "select ''::varchar as text, 0::bigint as frequency where false")
+
+# -- persistence, several indexes and streams
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder of its own in the one that the session names for such, or on one machine in a temporary one."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if there is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        there = tempfile.mkdtemp(prefix="lodestone-")
+    return f"{there.rstrip('/')}/index-{uuid.uuid4().hex}"
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    path = _folder(spark)
+    index_of(spark, sf_dir, "P").save(path)
+    return SearchIndex.load(spark, path)
+
+
+def _from_file(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    path = f"{_folder(spark)}.json"
+    storage.save_to_file(index_of(spark, sf_dir, "P"), path)
+    return storage.load_from_file(spark, path, CORPORA["P"][1])
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    out = index_of(spark, sf_dir, "P").export()
+    return SearchIndex.import_(out["documents"], IndexConfig.from_dict(out["config"]))
+
+
+def _deserialised(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    return storage.deserialize(spark, storage.serialize(index_of(spark, sf_dir, "P")), CORPORA["P"][1])
+
+
+for _name, _made in (("saved_and_loaded", _saved), ("file", _from_file), ("export_import", _imported), ("serialized", _deserialised)):
+    add(f"{_name}_search", lambda s, d, f=_made: hits(f(s, d).search("blue widgat anv", limit=30, highlight=False).hits), f"{sql_raw('P', 'blue widgat anv')} select {SHOWN} from (select * from scored order by round(score, 12) desc, doc_id limit 30)")
+    add(f"{_name}_documents", lambda s, d, f=_made: f(s, d).documents().select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", "p_retailprice"), "select p_partkey, p_name, p_retailprice from part")
+add("saved_dictionary", lambda s, d: _saved(s, d).dictionary.select("field", "term", "df"), f"with {sql_index('P')} select field, term, df from dict")
+
+
+def _managed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a manager passes through to an index: changes, search, suggestions, browsing and counts."""
+    part, m = table(spark, sf_dir, "part"), IndexManager()
+    m.create_index("parts", index_of(spark, sf_dir, "P"))
+    m.create_index("other", index_of(spark, sf_dir, "P"))
+    m.add_many("parts", part.filter("p_partkey = 5").withColumn("p_name", F.lit("renamed gizmo")))
+    m.remove("parts", 7, 8)
+    m.remove_index("other")
+    there = [(n, str(m.get_index(n) is not None)) for n in ("parts", "other", "none")]
+    rows = [spark.createDataFrame([("index " + n, v) for n, v in there], "what string, value string")]
+    rows.append(m.search("parts", "renamed").hits.select(F.lit("search").alias("what"), F.col("doc_id").alias("value")))
+    rows.append(m.suggest("parts", "renam").select(F.lit("suggest").alias("what"), F.concat_ws(" ", "text", F.col("frequency").cast("string"), F.array_join("document_ids", " ")).alias("value")))
+    rows.append(m.browse("parts", filter=_is("p_partkey", "lt", 10), limit=None).documents.select(F.lit("browse").alias("what"), F.col("p_partkey").cast("string").alias("value")))
+    stats = m.stats("parts")
+    rows.append(spark.createDataFrame([("documents", str(stats["document_count"])), ("fields", " ".join(stats["fields"]))], "what string, value string"))
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+add("manager_pass_throughs", _managed, "select unnest(['index parts', 'index other', 'index none']) as what, unnest(['True', 'False', 'False']) as value union all values ('search', '5'), ('suggest', 'renamed 1 5'), ('fields', 'p_name p_brand p_type') union all select 'browse', p_partkey::varchar from part where p_partkey < 10 and p_partkey not in (7, 8) union all select 'documents', (count(*) - 2)::varchar from part")
+
+
+def _live(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The part index after two batches of a stream: one part in ten renamed, then another one removed."""
+    path, part = _folder(spark), table(spark, sf_dir, "part")
+    index_of(spark, sf_dir, "P").save(f"{path}/index")
+    change = lambda op, ts: [F.lit(op).alias("op"), F.col("p_partkey").cast("string").alias("doc_id"), F.lit(ts).alias("ts"), F.struct(*part.columns).alias("doc")]
+    for batch in (part.filter("p_partkey % 10 in (3, 4)").withColumn("p_name", F.lit("renamed gizmo")).select(*change("update", 1)), part.filter("p_partkey % 10 = 4").select(*change("delete", 2))):
+        batch.coalesce(1).write.mode("append").parquet(f"{path}/changes")
+        stream = spark.readStream.schema(batch.schema).parquet(f"{path}/changes")
+        start_upserts(stream, f"{path}/index", f"{path}/checkpoint").awaitTermination()
+    return SearchIndex.load(spark, f"{path}/index")
+
+
+add("stream_upserts_search", lambda s, d: hits(_live(s, d).search("renamed widget", limit=30, highlight=False).hits), f"{sql_raw('P', 'renamed widget', source=_CHANGED)} select {SHOWN} from (select * from scored order by round(score, 12) desc, doc_id limit 30)")

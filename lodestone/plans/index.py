@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from lodestone.config import FieldConfig, IndexConfig
 from lodestone.functions.analysis import field_text, flatten, query_tokens, resolve, tokens
+from lodestone.operators.sorting import are_numbers, may_be_numbers, order
 
 
 #: Terms that a query reads postings of by name; the condition itself is used for more.
@@ -26,19 +27,21 @@ class SearchIndex:
 
     docs(doc_id, seq, doc): the documents; `seq` is their order.
     field_len(doc_id, field, len): how many tokens each field of a document has, of the fields that are not empty.
-    postings(field, term, doc_id, tf, len, df, positions): where terms occur; `df` counts the documents with the term in that field.
+    postings(field, term, doc_id, tf, len, positions): where terms occur.
+    dictionary(field, term, term_len, df): `df` counts the documents with the term in that field.
     suggest_docs(doc_id, field, word): words offered as suggestions.
 
     Indexes don't change: add, update and remove return a new one over the tables of this one and the changed documents.
     """
 
-    def __init__(self, spark: SparkSession, config: IndexConfig, docs: DataFrame, tokens_: DataFrame, last_updated: datetime | None = None, postings: DataFrame | None = None, dictionary: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, config: IndexConfig, docs: DataFrame, tokens_: DataFrame, last_updated: datetime | None = None, postings: DataFrame | None = None, dictionary: DataFrame | None = None, statistics: dict[str, float] | None = None):
         self.spark, self.config, self.docs, self.tokens, self.last_updated = spark, config, docs, tokens_, last_updated
         self._postings, self._dictionary = postings, dictionary
-        self._stats: dict[str, float] | None = None
+        self._stats = statistics
+        self._numbers: dict[str, bool] = {}
         self._kept: list[DataFrame] = []
 
-    # -- building ---------------------------------------------------------------------------------------------------
+    # -- building
 
     @classmethod
     def build(cls, df: DataFrame, fields: Collection[str] | Mapping[str, FieldConfig | Mapping] | IndexConfig, unique_ids: bool = False, warn_empty: bool = False, **options: Any) -> SearchIndex:
@@ -90,11 +93,12 @@ class SearchIndex:
         return [f for i, f in enumerate(self.config.fields) if counts["n"] and not counts[f"f{i}"]]
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> SearchIndex:
-        """Keeps documents and postings once they have been computed."""
+        """Keeps documents, tokens, postings and dictionary once they have been computed."""
         self.docs = self.docs.persist(level)
-        self._postings = self.postings.persist(level)
         self.tokens = self.tokens.persist(level)
-        self._kept = [self.docs, self._postings, self.tokens]
+        self._postings = self.postings.persist(level)
+        self._dictionary = self.dictionary.persist(level)
+        self._kept = [self.docs, self._postings, self.tokens, self._dictionary]
         return self
 
     def unpersist(self) -> None:
@@ -102,7 +106,7 @@ class SearchIndex:
             df.unpersist()
         self._kept = []
 
-    # -- tables -----------------------------------------------------------------------------------------------------
+    # -- tables
 
     @property
     def doc_schema(self) -> T.StructType:
@@ -114,31 +118,34 @@ class SearchIndex:
 
     @property
     def postings(self) -> DataFrame:
-        """Tokens of a document are in one row, so that counting them needs no exchange; the one there is collects each term's documents."""
+        """Counted within the tasks that have the tokens, and exchanged once, by field, term and document, so that a frequent term is spread over all tasks."""
         if self._postings is None:
             at = self.tokens.select("doc_id", "field", F.size("tokens").alias("len"), F.posexplode("tokens").alias("position", "term"))
             per = at.groupBy("field", "term", "doc_id", "len").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-            self._postings = per.select("field", "term", "doc_id", F.size("positions").alias("tf"), "len", F.count("*").over(W.partitionBy("field", "term")).alias("df"), "positions")
+            self._postings = per.select("field", "term", "doc_id", F.size("positions").alias("tf"), "len", "positions")
         return self._postings
 
     @property
     def dictionary(self) -> DataFrame:
-        """(field, term, term_len, df); a table of its own in a saved index."""
+        """(field, term, term_len, df), counted before the exchange; a table of its own in a saved index."""
         if self._dictionary is not None:
             return self._dictionary
-        return self.postings.groupBy("field", "term").agg(F.first("df").alias("df")).select("field", "term", F.char_length("term").alias("term_len"), "df")
+        return self.postings.groupBy("field", "term").agg(F.count("*").alias("df")).select("field", "term", F.char_length("term").alias("term_len"), "df")
 
     def postings_of(self, matches: Column, fields: Collection[str]) -> DataFrame:
-        """The postings of the terms that a condition on `term` holds for.
+        """The postings, with df, of the terms that a condition on `term` holds for.
 
-        In a saved index these terms are first looked up in the dictionary; if they are few, postings are read by name, from the row groups that have them.
+        The terms are looked up in the dictionary. If they are few they come to the driver, and postings are read by name, in a saved index from the row
+        groups that have them; if not, postings are joined with them.
         """
         own = F.col("field").isin(*dict.fromkeys(fields))
-        if self._dictionary is not None:
-            terms = [r["term"] for r in self._dictionary.filter(own & matches).select("term").distinct().limit(FEW_TERMS + 1).collect()]
-            if len(terms) <= FEW_TERMS:
-                return self.postings.filter(own & (F.col("term").isin(*terms) if terms else F.lit(False)))
-        return self.postings.filter(own & matches)
+        found = self.dictionary.filter(own & matches).select("field", "term", "df")
+        rows = found.limit(FEW_TERMS + 1).collect()
+        if len(rows) > FEW_TERMS:
+            return self.postings.filter(own & matches).join(found, ["field", "term"])
+        named = F.col("term").isin(*dict.fromkeys(r["term"] for r in rows)) if rows else F.lit(False)
+        few = self.spark.createDataFrame(rows, found.schema)  # FEW_TERMS rows at most
+        return self.postings.filter(own & named).join(F.broadcast(few), ["field", "term"])
 
     @property
     def suggest_docs(self) -> DataFrame:
@@ -148,21 +155,30 @@ class SearchIndex:
 
     @property
     def suggest_terms(self) -> DataFrame:
-        """(word, frequency): in how many fields of documents a word is offered."""
-        return self.suggest_docs.groupBy("word").agg(F.count("*").alias("frequency"))
+        """(word, frequency): in how many fields of documents a word is offered, by the dictionary."""
+        names = [n for n, f in self.config.fields.items() if f.suggest]
+        own = self.dictionary.filter((F.col("field").isin(*names) if names else F.lit(False)) & (F.col("term_len") >= 2))
+        return own.groupBy(F.col("term").alias("word")).agg(F.sum("df").alias("frequency"))
 
     def statistics(self) -> dict[str, float]:
-        """Documents, under "", and the average length of each field over all of them; read once."""
+        """Documents, under "", and the average length of each field over all of them; counted once, and kept in the manifest of a saved index."""
         if self._stats is None:
             n = self.docs.count()
             sums = {r["field"]: r["s"] for r in self.field_len.groupBy("field").agg(F.sum("len").alias("s")).collect()}
             self._stats = {"": n} | {f: (sums.get(f) or 0) / n if n else 1.0 for f in self.config.fields}
         return self._stats
 
+    def order(self, sort: Mapping) -> Column:
+        """The order by a field of the documents; whether texts are numbers is looked at once."""
+        root, name = F.col("doc"), sort["field"]
+        if may_be_numbers(self.doc_schema, sort, root) and name not in self._numbers:
+            self._numbers[name] = are_numbers(self.docs, name, root, self.doc_schema)
+        return order(self.doc_schema, sort, root, self._numbers.get(name, False))
+
     def query_tokens(self, query: str) -> list[str]:
         return query_tokens(self.spark, query, self.config.tokenizer)
 
-    # -- changes ----------------------------------------------------------------------------------------------------
+    # -- changes
 
     def _without(self, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
         return self.docs.join(ids, "doc_id", "left_anti"), self.tokens.join(ids, "doc_id", "left_anti")
@@ -191,7 +207,7 @@ class SearchIndex:
     def clear(self) -> SearchIndex:
         return SearchIndex(self.spark, self.config, self.docs.limit(0), self.tokens.limit(0))
 
-    # -- reading ----------------------------------------------------------------------------------------------------
+    # -- reading
 
     def get_by_id(self, doc_id: Any) -> DataFrame:
         """The document with an id, as a frame of one row or none."""
@@ -206,7 +222,7 @@ class SearchIndex:
 
     def trie_nodes(self) -> DataFrame:
         """The distinct prefixes of all suggested words."""
-        words = self.suggest_docs.select("word").distinct()
+        words = self.suggest_terms
         return words.select(F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda i: F.substring(F.col("word"), F.lit(1), i))).alias("prefix")).distinct()
 
     def stats(self) -> dict[str, Any]:
@@ -220,7 +236,7 @@ class SearchIndex:
             "last_updated": self.last_updated,
         }
 
-    # -- queries: the methods are thin, see the modules named --------------------------------------------------------
+    # -- queries: the methods are thin, see the modules named
 
     def search(self, query: str, **options: Any):
         from lodestone.plans.search import search

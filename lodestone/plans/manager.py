@@ -10,8 +10,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.filters import compile_filter
+from lodestone.operators.sorting import page
 from lodestone.plans.index import SearchIndex
-from lodestone.plans.search import search
+from lodestone.plans.search import PAGE_BROADCAST, ranked, shown
 
 
 @dataclass
@@ -85,21 +87,32 @@ class IndexManager:
 
         Without `indexes` all take part with weight 1. Names that repeat give their hits again. Documents are JSON, as their columns differ.
         """
+        if offset < 0 or (limit is not None and limit < 0):
+            raise ValueError("limit and offset can't be negative")
         weights = [(n, 1.0) for n in self._indexes] if indexes is None else [(n, float(w)) for n, w in indexes.items()] if isinstance(indexes, Mapping) else [(n, 1.0) for n in indexes]
         parts = []
         for i, (n, w) in enumerate(weights):
             index = self._of(n)
-            hits = search(index, query, limit=None, filter=filter, highlight=highlight).hits
-            cols = [F.lit(n).alias("index"), F.lit(i).alias("ord"), F.to_json("document", {"ignoreNullFields": "false"}).alias("document"), "doc_id", (F.col("score") * w).alias("score"), "raw_score", "match_type"]
-            parts.append(hits.select(*cols, *(["highlights"] if highlight and "highlights" in hits.columns else [])))
+            tokens = index.query_tokens(query)
+            if tokens and index.statistics()[""]:
+                passing = None if filter is None else index.docs.filter(compile_filter(index.doc_schema, filter, root=F.col("doc"))).select("doc_id")
+                parts.append(ranked(index, tokens, list(index.config.fields), passing, True).withColumns({"index": F.lit(n), "ord": F.lit(i), "score": F.col("score") * w}))
         if not parts:
             spark = SparkSession.active()
             none = spark.createDataFrame([], "index string, document string, doc_id string, score double, raw_score double, match_type string")
             return SearchAllResult(none, none.select("index", "doc_id"), query, limit, offset)
-        every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        # ids and scores are ranked first; documents and highlights are made for the page alone
+        every = reduce(lambda a, b: a.unionByName(b), parts)
         top = every.agg(F.greatest(F.lit(1.0), F.max("score")).alias("top"))
         scored = every.crossJoin(F.broadcast(top)).withColumn("score", F.col("score") / F.col("top")).drop("top")  # one row
-        rows = scored.orderBy(F.desc(F.round("score", 12)), "ord", "doc_id")
-        rows = rows.offset(offset) if offset else rows
-        rows = rows if limit is None else rows.limit(limit)
+        in_order = [F.desc(F.round("score", 12)), "ord", "doc_id"]
+        best = page(scored.orderBy(*in_order), limit, offset)
+        few = limit is not None and limit <= PAGE_BROADCAST
+        hits = []
+        for i, (n, _) in enumerate(weights):
+            index = self._of(n)
+            own = best.filter(F.col("ord") == i)
+            rows = shown(index, index.docs.select("doc_id", "doc").join(F.broadcast(own) if few else own, "doc_id"), list(index.config.fields) if highlight else None, "index", "ord")
+            hits.append(rows.withColumn("document", F.to_json("document", {"ignoreNullFields": "false"})).drop("matched_tokens"))
+        rows = reduce(lambda a, b: a.unionByName(b), hits).orderBy(*in_order)
         return SearchAllResult(rows.drop("ord"), every.select("index", "doc_id"), query, limit, offset)

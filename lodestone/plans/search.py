@@ -15,7 +15,7 @@ from lodestone.operators.facets import facet
 from lodestone.operators.filters import compile_filter
 from lodestone.operators.highlight import highlight
 from lodestone.operators.scoring import MATCH_TYPES, boosted, match_any, normalised, phrase_docs, scores
-from lodestone.operators.sorting import order, page
+from lodestone.operators.sorting import page
 from lodestone.plans.index import SearchIndex
 
 #: Rows of a page up to which it is broadcast to the documents.
@@ -62,6 +62,7 @@ def score_order(*more: Column) -> list[Column]:
 def ranked(index: SearchIndex, tokens: Sequence[str], fields: Sequence[str], matching: DataFrame | None, boost: bool) -> DataFrame:
     """(doc_id, raw_score, kind, matched_tokens, score) of every document that matches. Statistics are those of the whole index, whatever the filter."""
     c = index.config
+    # terms are looked up first: see postings_of()
     postings = index.postings_of(match_any(F.col("term"), tokens, c.fuzzy.distance), fields)
     raw = scores(postings, tokens, fields, {n: f.weight for n, f in c.fields.items()}, index.statistics(), c.k1, c.b, c.fuzzy.distance)
     if matching is not None:
@@ -118,14 +119,19 @@ def search(
     every = ranked(index, tokens, own, None if filter is None else passing.select("doc_id"), boost_exact)
     kept = every.filter(F.col("score") >= min_score)
     if sort:
-        joined = kept.join(index.docs.select("doc_id", "seq", "doc"), "doc_id")
-        rows = page(joined.orderBy(order(index.doc_schema, sort, F.col("doc")), *score_order()), limit, offset)
-        in_order = [order(index.doc_schema, sort, F.col("doc")), *score_order()]
+        in_order = [index.order(sort), *score_order()]
+        rows = page(kept.join(index.docs.select("doc_id", "seq", "doc"), "doc_id").orderBy(*in_order), limit, offset)
     else:
         top = page(kept.orderBy(*score_order()), limit, offset)
         few = limit is not None and limit <= PAGE_BROADCAST
         rows = index.docs.select("doc_id", "doc").join(F.broadcast(top) if few else top, "doc_id")
         in_order = score_order()
-    kind = F.get(F.array(*(F.lit(m) for m in MATCH_TYPES)), F.col("kind"))
-    hits = rows.orderBy(*in_order).select(F.col("doc").alias("document"), "doc_id", "score", "raw_score", kind.alias("match_type"), "matched_tokens", *([highlights(index, own).alias("highlights")] if highlight else []))
+    hits = shown(index, rows.orderBy(*in_order), own if highlight else None)
     return SearchResult(hits, kept.select("doc_id"), query, limit, offset, counted, started)
+
+
+def shown(index: SearchIndex, rows: DataFrame, fields: Sequence[str] | None, *more: str) -> DataFrame:
+    """(document, doc_id, score, raw_score, match_type, matched_tokens) of ranked rows with their documents, and the highlights in `fields`, if given."""
+    kind = F.get(F.array(*(F.lit(m) for m in MATCH_TYPES)), F.col("kind"))
+    marked = [highlights(index, fields).alias("highlights")] if fields is not None else []
+    return rows.select(*more, F.col("doc").alias("document"), "doc_id", "score", "raw_score", kind.alias("match_type"), "matched_tokens", *marked)

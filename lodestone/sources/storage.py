@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import uuid
 from datetime import datetime, timezone
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import IndexConfig
@@ -22,52 +23,116 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small file beside its place and moves it there, so that a reader sees the old one or the new one."""
+    """Writes a small file beside its place and renames it over what is there, in one step, so that a reader sees the old one or the new one."""
     fs, p = _fs(spark, path)
     _, part = _fs(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(part, p)
+    hadoop, sc = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext
+    rename = getattr(hadoop, "Options$Rename")
+    how = sc._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(fs.makeQualified(part), fs.makeQualified(p), how)
 
 
 def _read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
 
 
+def _manifest(spark: SparkSession, path: str) -> dict[str, Any]:
+    manifest = json.loads(_read_text(spark, f"{path}/{MANIFEST}"))
+    if "version" not in manifest:
+        raise ValueError(f"{path} has no index: the manifest has no version")
+    return manifest
+
+
+def _with_postings(spark: SparkSession, config: IndexConfig, at: str) -> SearchIndex:
+    """The index whose documents and tokens are written at `at`, once its postings are too.
+
+    These are partitioned by field and sorted by term within files, so that a query reads the row groups of its terms.
+    """
+    docs, tokens = spark.read.parquet(f"{at}/docs"), spark.read.parquet(f"{at}/tokens")
+    made = SearchIndex(spark, config, docs, tokens).postings
+    made.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").parquet(f"{at}/postings")
+    return SearchIndex(spark, config, docs, tokens, postings=spark.read.schema(made.schema).parquet(f"{at}/postings"))
+
+
 def save(index: SearchIndex, path: str) -> None:
-    """Writes documents, tokens and postings as Parquet into a new folder of `path`, and then the manifest that names it.
+    """Writes documents, tokens, postings and dictionary as Parquet into a new folder of `path`, and then the manifest that names it.
 
-    Postings are partitioned by field and sorted by term within files, so that a query reads the row groups of its terms; the dictionary is a table of its own.
+    The manifest also has the statistics that scores need.
     """
     spark, at = index.spark, f"snapshot-{uuid.uuid4().hex}"
     index.docs.write.parquet(f"{path}/{at}/docs")
     index.tokens.write.parquet(f"{path}/{at}/tokens")
-    written = SearchIndex(spark, index.config, spark.read.parquet(f"{path}/{at}/docs"), spark.read.parquet(f"{path}/{at}/tokens"))
-    written.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").parquet(f"{path}/{at}/postings")
-    spark.read.parquet(f"{path}/{at}/postings").groupBy("field", "term").agg(F.first("df").alias("df")).select("field", "term", F.char_length("term").alias("term_len"), "df").sortWithinPartitions("field", "term").write.parquet(f"{path}/{at}/dictionary")
+    written = _with_postings(spark, index.config, f"{path}/{at}")
+    written.dictionary.sortWithinPartitions("field", "term").write.parquet(f"{path}/{at}/dictionary")
+    top = written.docs.agg(F.max("seq")).first()[0]
     updated = index.last_updated.isoformat() if index.last_updated else None
-    _write_text(spark, f"{path}/{MANIFEST}", json.dumps({"version": 1, "snapshot": at, "lastUpdated": updated, "config": index.config.to_dict()}))
+    _write_text(spark, f"{path}/{MANIFEST}", json.dumps({"version": 1, "snapshot": at, "segments": [], "lastUpdated": updated, "statistics": written.statistics(), "top": top, "config": index.config.to_dict()}))
+
+
+def append(spark: SparkSession, path: str, new: DataFrame, gone: DataFrame, config: IndexConfig | None = None) -> int:
+    """Adds the documents `new` to the index saved at `path` and removes the ids `gone` (doc_id), and says how many segments it has then.
+
+    Only what changes is written, as a segment: the new documents with their tokens and postings, the ids that it takes the place of, and by how much the
+    document counts of terms change. What the index has is read for the documents that go, and not written anew; save() of the loaded index does that.
+    """
+    manifest, index = _manifest(spark, path), load(spark, path, config)
+    at = f"segment-{uuid.uuid4().hex}"
+    seq = F.monotonically_increasing_id() + F.lit(0 if manifest.get("top") is None else manifest["top"] + 1)
+    SearchIndex._documents(new, index.config, seq, False).write.parquet(f"{path}/{at}/docs")
+    SearchIndex._tokenised(spark.read.parquet(f"{path}/{at}/docs"), index.config).write.parquet(f"{path}/{at}/tokens")
+    made = _with_postings(spark, index.config, f"{path}/{at}")
+    gone.select("doc_id").unionByName(made.docs.select("doc_id")).distinct().write.parquet(f"{path}/{at}/gone")
+    ids = spark.read.parquet(f"{path}/{at}/gone")
+    count = lambda df, sign: df.groupBy("field", "term").agg((sign * F.count("*")).alias("df"))
+    change = count(index.postings.join(ids, "doc_id", "left_semi"), -1).unionByName(count(made.postings, 1)).groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df <> 0")
+    change.select("field", "term", F.char_length("term").alias("term_len"), "df").sortWithinPartitions("field", "term").write.parquet(f"{path}/{at}/dictionary")
+    sums = lambda df: {r["field"]: r["s"] for r in df.groupBy("field").agg(F.sum(F.size("tokens")).alias("s")).collect()}
+    old, less, more = index.statistics(), sums(index.tokens.join(ids, "doc_id", "left_semi")), sums(made.tokens)
+    n = old[""] - index.docs.join(ids, "doc_id", "left_semi").count() + made.docs.count()
+    total = {f: (old[f] * old[""] if old[""] else 0) - less.get(f, 0) + more.get(f, 0) for f in index.config.fields}
+    manifest["statistics"] = {"": n} | {f: round(t) / n if n else 1.0 for f, t in total.items()}
+    manifest["top"] = max((x for x in (manifest.get("top"), made.docs.agg(F.max("seq")).first()[0]) if x is not None), default=None)
+    manifest["segments"] = [*manifest.get("segments", []), at]
+    manifest["lastUpdated"] = datetime.now(timezone.utc).isoformat()
+    _write_text(spark, f"{path}/{MANIFEST}", json.dumps(manifest))
+    return len(manifest["segments"])
 
 
 def load(spark: SparkSession, path: str, config: IndexConfig | None = None) -> SearchIndex:
-    """The index saved at `path`; its settings are those saved unless others are given, as they must be if columns or functions were among them."""
-    manifest = json.loads(_read_text(spark, f"{path}/{MANIFEST}"))
-    if "version" not in manifest:
-        raise ValueError(f"{path} has no index: the manifest has no version")
-    at = f"{path}/{manifest['snapshot']}"
+    """The index saved at `path`; its settings are those saved unless others are given, as they must be if columns or functions were among them.
+
+    Of a document that several segments have the last counts, and none if a later one removes it.
+    """
+    manifest = _manifest(spark, path)
+    own = config or IndexConfig.from_dict(manifest["config"])
     updated = datetime.fromisoformat(manifest["lastUpdated"]) if manifest.get("lastUpdated") else None
-    docs, tokens = spark.read.parquet(f"{at}/docs"), spark.read.parquet(f"{at}/tokens")
-    return SearchIndex(spark, config or IndexConfig.from_dict(manifest["config"]), docs, tokens, updated, spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/dictionary"))
+    parts = [f"{path}/{x}" for x in (manifest["snapshot"], *manifest.get("segments", []))]
+    base = {n: spark.read.parquet(f"{parts[0]}/{n}") for n in ("docs", "tokens", "postings", "dictionary")}
+    made = SearchIndex(spark, own, base["docs"], base["tokens"], updated, base["postings"], base["dictionary"], manifest.get("statistics"))
+    if len(parts) == 1:
+        return made
+    union = lambda frames: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    gone = union([spark.read.parquet(f"{x}/gone").withColumn("last", F.lit(i)) for i, x in enumerate(parts) if i]).groupBy("doc_id").agg(F.max("last").alias("last"))
+
+    def live(name: str) -> DataFrame:
+        rows = union([spark.read.schema(base[name].schema if name != "docs" else spark.read.parquet(f"{x}/docs").schema).parquet(f"{x}/{name}").withColumn("segment", F.lit(i)) for i, x in enumerate(parts)])
+        return rows.join(gone, "doc_id", "left").filter("last is null or segment >= last").drop("segment", "last")
+
+    terms = union([base["dictionary"], *(spark.read.schema(base["dictionary"].schema).parquet(f"{x}/dictionary") for x in parts[1:])])
+    terms = terms.groupBy("field", "term", "term_len").agg(F.sum("df").alias("df")).filter("df > 0")
+    return SearchIndex(spark, own, live("docs"), live("tokens"), updated, live("postings"), terms, manifest.get("statistics"))
 
 
 def vacuum(spark: SparkSession, path: str) -> int:
-    """Deletes the snapshots at `path` that the manifest doesn't name, and says how many; readers of old ones must be done."""
-    kept = json.loads(_read_text(spark, f"{path}/{MANIFEST}"))["snapshot"]
+    """Deletes the snapshots and segments at `path` that the manifest doesn't name, and says how many; readers of old ones must be done."""
+    manifest = _manifest(spark, path)
+    kept = {manifest["snapshot"], *manifest.get("segments", [])}
     fs, p = _fs(spark, path)
-    old = [f.getPath() for f in fs.listStatus(p) if f.getPath().getName().startswith("snapshot-") and f.getPath().getName() != kept]
+    old = [f.getPath() for f in fs.listStatus(p) if f.getPath().getName().startswith(("snapshot-", "segment-")) and f.getPath().getName() not in kept]
     for x in old:
         fs.delete(x, True)
     return len(old)

@@ -86,8 +86,9 @@ def test_normalised_and_boosted(spark):
 def test_postings_and_expansion(spark):
     df = spark.createDataFrame([("1", "hello world"), ("2", "hello there none hello"), ("3", "testing tested")], "id string, title string")
     index = SearchIndex.build(df, ["title"])
-    p = {(r["term"], r["doc_id"]): (r["positions"], r["df"], r["len"]) for r in index.postings.collect()}
+    p = {(r["term"], r["doc_id"]): (r["positions"], r["tf"], r["len"]) for r in index.postings.collect()}
     assert p["hello", "2"] == ([0, 3], 2, 4) and p["tested", "3"] == ([1], 1, 2)
+    assert {r["term"]: r["df"] for r in index.dictionary.filter("term in ('hello', 'tested')").collect()} == {"hello": 2, "tested": 1}
     kinds = lambda t: {(r["term"], r["match_type"]) for r in scoring.expand(index.dictionary, "title", t).collect()}
     assert kinds("test") == {("testing", "prefix"), ("tested", "prefix")} and kinds("hallo") == {("hello", "fuzzy")} and kinds("hello") == {("hello", "exact")} and kinds("h") == set()
     assert [tuple(r) for r in scoring.fuzzy_terms(index.dictionary, "title", "testin").collect()] == [("testing", 1)]

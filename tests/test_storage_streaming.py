@@ -63,4 +63,23 @@ def test_changes_and_stream(spark, tmp_path, index):
             assert {h[0] for h in hits(SearchIndex.load(spark, str(tmp_path / "i")))} == {"1", "2", "4", "5"}
             changes.filter("ts >= 2").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert hits(SearchIndex.load(spark, str(tmp_path / "i"))) == want
-    assert SearchIndex.load(spark, str(tmp_path / "i")).docs.filter(F.col("doc_id").isin("2", "5")).isEmpty()
+    back = SearchIndex.load(spark, str(tmp_path / "i"))
+    assert back.docs.filter(F.col("doc_id").isin("2", "5")).isEmpty()
+    again = apply_changes(index, changes)
+    terms = lambda i: {(r["field"], r["term"], r["df"]) for r in i.dictionary.collect()}
+    assert terms(back) == terms(again) and back.statistics() == again.statistics()
+    assert len(json.loads((tmp_path / "i" / "manifest.json").read_text())["segments"]) == 2
+    back.save(str(tmp_path / "i"))
+    assert vacuum(spark, str(tmp_path / "i")) == 3 and hits(SearchIndex.load(spark, str(tmp_path / "i"))) == want
+
+
+def test_segments_are_merged_in_time(spark, tmp_path, index):
+    kind = f"struct<{SCHEMA.replace(' string', ': string').replace(' double', ': double')}>"
+    index.save(str(tmp_path / "i"))
+    for step in range(3):
+        spark.createDataFrame([("update", "1", step, ("1", f"red shoes {step}", 1.0)), ("delete", "none", step, None)], f"op string, doc_id string, ts int, doc {kind}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(f"op string, doc_id string, ts int, doc {kind}").parquet(str(tmp_path / "in"))
+        start_upserts(stream, str(tmp_path / "i"), str(tmp_path / "checkpoint"), segments=2).awaitTermination()
+        got = SearchIndex.load(spark, str(tmp_path / "i"))
+        assert got.get_by_id("1").first()["title"] == f"red shoes {step}" and got.statistics()[""] == 3
+        assert len(json.loads((tmp_path / "i" / "manifest.json").read_text())["segments"]) == (step + 1) % 2
