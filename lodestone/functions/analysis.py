@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,13 @@ STOPWORDS = frozenset(
 SEPARATOR = r"[^\p{L}\p{N}']+"
 
 
+def local(spark: SparkSession, schema: str, rows: Sequence[Sequence]) -> DataFrame:
+    """A frame of a few rows that are part of the plan, so that no task is needed to read them."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    columns = [c.split() for c in schema.split(", ")]
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(columns)], [n for n, _ in columns]))
+
+
 def number_text(c: Column, kind: T.DataType) -> Column:
     """A number as text: whole ones without a fraction."""
     if not isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.analysis import fuzzy_distance
+from lodestone.functions.analysis import fuzzy_distance, local
 from lodestone.plans.index import SearchIndex
 
 SUGGESTIONS = "text string, match_type string, frequency long, distance int, document_ids array<string>"
@@ -39,7 +39,7 @@ def suggest(index: SearchIndex, query: str, max_results: int | None = None, docu
     if not found:
         return index.spark.createDataFrame([], SUGGESTIONS)
     rows = [(i, w, ("exact", "prefix", "fuzzy")[k], -n, far) for i, (k, n, w, far) in enumerate(found)]
-    top = index.spark.createDataFrame(rows, "place int, text string, match_type string, frequency long, distance int")
+    top = local(index.spark, "place int, text string, match_type string, frequency long, distance int", rows)
     if not documents:
         return top.orderBy("place").select("text", "match_type", "frequency", "distance", F.array().cast("array<string>").alias("document_ids"))
     other, own = F.col("word"), [w for _, _, w, _ in found]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.config import FieldConfig, IndexConfig
-from lodestone.functions.analysis import field_text, flatten, query_tokens, resolve, tokens
+from lodestone.functions.analysis import field_text, flatten, local, query_tokens, resolve, tokens
 from lodestone.operators.sorting import are_numbers, may_be_numbers, order
 
 
@@ -144,7 +144,7 @@ class SearchIndex:
         if len(rows) > FEW_TERMS:
             return self.postings.filter(own & matches).join(found, ["field", "term"])
         named = F.col("term").isin(*dict.fromkeys(r["term"] for r in rows)) if rows else F.lit(False)
-        few = self.spark.createDataFrame(rows, found.schema)  # FEW_TERMS rows at most
+        few = local(self.spark, "field string, term string, df long", rows)  # FEW_TERMS rows at most
         return self.postings.filter(own & named).join(F.broadcast(few), ["field", "term"])
 
     @property

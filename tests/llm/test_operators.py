@@ -4,9 +4,11 @@ import itertools
 import random
 import re
 
+import brute
 import duckdb
 import numpy as np
 import pytest
+import secret_cases
 from pyspark.sql import functions as F
 
 from lodestone.llm import chat, graph, mixing, near, packing, queries, repeats, secrets, tokens, toxicity, urls, vectors
@@ -182,6 +184,7 @@ def test_secrets_held_out_and_redacted(spark):
     got = {(x["doc_id"], len(texts[x["doc_id"]][: x["first"]].encode()), len(texts[x["doc_id"]][: x["last"]].encode())) for x in secrets.secrets(df).collect()}
     want = {(i, a, b) for i, own in enumerate(spans) for a, b in own}
     assert len(got & want) / len(want) > 0.93 and len(got & want) / len(got) > 0.93
+    assert got == {(i, *x) for i, t in enumerate(texts) for x in brute.secrets_of(secrets.default_model(), t)}
     clean = {x["doc_id"]: x for x in secrets.without_secrets(df).collect()}
     assert len(clean) == len(texts)
     for i, a, b in got:
@@ -189,12 +192,19 @@ def test_secrets_held_out_and_redacted(spark):
         assert "<SECRET>" in clean[i]["text"] and clean[i]["n_chars"] == len(clean[i]["text"])
 
 
-# -- near copies
+def test_secrets_of_other_sources(spark):
+    """Kinds, settings files and code that the training sentences have nothing of."""
+    texts, values, plain = secret_cases.cases(300, 11)
+    df = docs_of(spark, texts + plain)
+    got = {}
+    for r in secrets.secrets(df).collect():
+        got.setdefault(r["doc_id"], []).append((r["first"], r["last"]))
+    hit = sum(any(a <= texts[i].index(v) and texts[i].index(v) + len(v) <= b + 2 for a, b in got.get(i, [])) for i, v in enumerate(values))
+    wrong = sum(i in got for i in range(len(texts), len(texts) + len(plain)))
+    assert hit >= 0.9 * len(texts) and wrong <= 0.05 * len(plain), (hit / len(texts), wrong / len(plain), [texts[i] for i in range(len(texts)) if i not in got][:8])
 
 
-def bigrams(t):
-    w = re.findall(r"[a-z0-9_]+", t.lower())
-    return set(zip(w, w[1:])) or {(x,) for x in w}
+# -- near copies
 
 
 def test_near_copies_match_brute_force(spark):
@@ -206,20 +216,7 @@ def test_near_copies_match_brute_force(spark):
             w[r.randrange(len(w))] = "zz%d" % i
         texts.append(" ".join(w))
     texts += ["one"] * 3 + ["", "", "..."]
-    grams = [bigrams(t) for t in texts]
-    root = list(range(len(texts)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in range(i):
-            if texts[i] == texts[j] or (grams[i] and len(grams[i] & grams[j]) >= 0.5 * len(grams[i] | grams[j])):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    want = {(i, find(i)) for i in range(len(texts)) if find(i) != i}
+    want = {(d, first) for (d, _), (first, _) in brute.groups(list(enumerate(texts))).items() if d != first}
     got = {tuple(x) for x in near.near_duplicates(docs_of(spark, texts)).collect()}
     assert not got - want
     assert len(got & want) >= 0.97 * len(want)
@@ -244,7 +241,7 @@ def test_large_buckets_go_in_tiles(spark, monkeypatch):
     for i in range(60):
         own = words(100 + i, 50)
         texts += [head + " " + " ".join(own), head + " " + " ".join(own[:45] + words(900 + i, 5))]
-    grams = [bigrams(t) for t in texts]
+    grams = [brute.grams(t) for t in texts]
     linked = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(grams[i] & grams[j]) >= 0.5 * len(grams[i] | grams[j])}
     assert linked == {(2 * i, 2 * i + 1) for i in range(60)}
     assert {tuple(x) for x in near.near_duplicates(docs_of(spark, texts)).collect()} == {(b, a) for a, b in linked}
@@ -399,6 +396,8 @@ def test_chats_round_trip(spark):
         ids, mask = np.array(r["input_ids"]), np.array(r["loss_mask"])
         assert len(ids) == len(mask) == r["n_tokens"] and mask.sum() == r["n_trained"]
         assert (ids == start).sum() == (ids == end).sum()
+    for i, turns in ((1, [("system", ""), ("user", talk[0][3]), ("assistant", talk[1][3])]), (2, [("user", ""), ("assistant", "<|"), ("assistant", "<|")])):
+        assert (rows[i]["input_ids"], rows[i]["loss_mask"]) == brute.chat_of([(r, chat.escape(t)) for r, t in turns])
     trained = [x for x, m in zip(rows[1]["input_ids"], rows[1]["loss_mask"]) if m]
     assert trained == [*e.encode_ordinary(talk[1][3]), end]
     assert chat.format_chats(df.limit(0)).count() == 0
@@ -485,6 +484,9 @@ def test_mixing_meets_targets(spark):
     assert (got["rate"] >= 0).all() and np.allclose(p.sum(1), 1)
     share = (p * (got["rate"] * got["n_tokens"]).to_numpy()[:, None]).sum(0) / got["n_tokens"].sum()
     assert np.abs(share - mixing.BUDGET * np.array(mixing.TARGETS) / sum(mixing.TARGETS)).max() < 1e-3
+    n, rate = brute.rates_of(mixing.train(docs, labels), [t for _, t, *_ in rows])
+    got = got.sort_values("doc_id")
+    assert (got["n_tokens"] == n).all() and np.allclose(got["rate"], rate, atol=1e-6)
     drawn = mixing.mixed(docs, labels)
     assert drawn.columns == docs.columns
     many = drawn.groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
@@ -554,8 +556,11 @@ def test_toxicity_of_inflected_insults(spark):
     rows = [(" ".join(words(i, 40) + [form() for _ in range(2 if y else i % 9 == 0)]), int(y)) for i, y in ((i, r.random() < 0.2) for i in range(600))]
     docs = docs_of(spark, [t for t, _ in rows])
     labs = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows) if i < 400], LABELS)
-    bad = {x["doc_id"] for x in toxicity.toxic_documents(docs, labs).collect()}
-    assert bad == {i for i, (_, y) in enumerate(rows) if y}
+    got = {x["doc_id"]: x["score"] for x in toxicity.toxic_documents(docs, labs).collect()}
+    assert set(got) == {i for i, (_, y) in enumerate(rows) if y}
+    model = toxicity.train(docs, labs)
+    plain = {i: brute.toxicity_of(model, t) for i, (t, _) in enumerate(rows)}
+    assert set(got) == {i for i, s in plain.items() if s >= 0.5} and all(abs(plain[i] - s) < 2e-6 for i, s in got.items())
 
 
 # -- awkward tables
