@@ -247,6 +247,44 @@ def test_large_buckets_go_in_tiles(spark, monkeypatch):
     assert {tuple(x) for x in near.near_duplicates(docs_of(spark, texts)).collect()} == {(b, a) for a, b in linked}
 
 
+def test_short_texts_that_share_a_bigram_are_settled_by_their_sketches(spark, monkeypatch):
+    """One common bigram gives short texts common keys; the pairs of such a bucket grow with the square of its texts, and none is to be verified on whole sets."""
+    checked, verify = [], near._verify
+    monkeypatch.setattr(near, "_verify", lambda edges, *more: checked.append(edges.count()) or verify(edges, *more))
+    texts = ["in the " + " ".join(words(i, 4)) for i in range(80)] + ["in the " + " ".join(words(i, 4)) + " too" for i in range(0, 80, 40)]
+    assert {tuple(x) for x in near.near_duplicates(docs_of(spark, texts)).collect()} == {(80, 0), (81, 40)}
+    assert sum(checked) <= 20, checked
+
+
+def test_pairs_out_of_reach_are_below_the_threshold_or_the_estimate():
+    r = np.random.default_rng(5)
+    for _ in range(600):
+        both, own, other = r.integers(1, r.choice((8, 40, 900)), 3)
+        grams = r.integers(0, 1 << 63, both + own + other, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, both + own + other, dtype=np.uint64)
+        sets = grams[: both + own], np.concatenate((grams[:both], grams[both + own :]))
+        sketch, size = np.full((2, near.REGISTERS), near.EMPTY, np.uint16), np.array([len(x) for x in sets])
+        for k, h in enumerate(sets):
+            bits = ((h >> np.uint64(11)) | np.uint64(1)).astype(np.float64).view(np.int64) >> (52 - near.MANTISSA)
+            np.minimum.at(sketch[k], (h & np.uint64(near.REGISTERS - 1)).astype(int), (bits - (1023 << near.MANTISSA)).astype(np.uint16))
+        a, b = sketch[:1], sketch[1:]
+        assert near.differing(a, b)[0] == (a != b).sum()
+        if not near.within_reach(near.differing(a, b), size[:1], size[1:], 0.5)[0]:
+            assert both < 0.5 * (both + own + other) or not near.possible(a, b, size[:1], size[1:], 0.5)[0]
+
+
+@pytest.mark.parametrize("most", [9, 1 << 22])
+def test_keys_of_several_texts(monkeypatch, most):
+    """Whatever the batches are, each row of a key with more than one comes with their number, or the largest that counts."""
+    monkeypatch.setattr(near, "MOST", most)
+    r = np.random.default_rng(6)
+    key = np.sort(np.concatenate((r.integers(0, 60, 100), np.full(50, 70), r.integers(80, 300, 60))))
+    many = dict(zip(*np.unique(key, return_counts=True)))
+    table = near.pa.table({"key": key, "tid": np.arange(len(key))})
+    for rows in (1, 3, 7, 64, 1000):
+        got = [x for b in near._several(iter(table.to_batches(rows))) for x in zip(*b.to_pydict().values())]
+        assert sorted(got) == [(k, i, min(many[k], most)) for i, k in enumerate(key.tolist()) if many[k] > 1]
+
+
 def test_heavily_edited_copies_share_a_band_and_pass_the_filter():
     r = np.random.default_rng(3)
     for share in (0.5, 0.52, 0.55, 0.6):
