@@ -256,6 +256,49 @@ def test_short_texts_that_share_a_bigram_are_settled_by_their_sketches(spark, mo
     assert sum(checked) <= 20, checked
 
 
+def test_short_texts_that_share_a_bigram_do_not_meet(spark, monkeypatch):
+    """Pairs that come together under one key are to grow with the texts, not with their square, and every copy is to be found."""
+    met, put = [], near.Stash.put
+
+    def counted(self, df):
+        out = put(self, df)
+        if {"key", "root"} <= {*out.columns}:
+            met.append(sum(r["count"] * (r["count"] - 1) // 2 for r in out.groupBy("key").count().collect()))
+        return out
+
+    monkeypatch.setattr(near.Stash, "put", counted)
+    texts = ["in the " + " ".join(words(i, 30)) for i in range(300)]
+    texts += [" ".join(t.split()[:-9] + words(1000 + i, 9)) for i, t in enumerate(texts[:20])]
+    assert {tuple(x) for x in near.near_duplicates(docs_of(spark, texts)).collect()} == {(300 + i, i) for i in range(20)}
+    assert max(met) <= 2 * len(texts), met
+
+
+def test_rare_bigrams_meet_whatever_their_order():
+    """Sets at the threshold or above share a key that one of them holds as the shorter, for sizes up to twice SHORT and with equal 32 bits in one set."""
+    r = np.random.default_rng(12)
+    for _ in range(1500):
+        a = int(r.integers(1, r.choice((5, 40, near.SHORT + 1))))
+        b = int(r.integers(a, 2 * a + 1))
+        both = int(np.ceil((a + b) / 3))
+        if both > a:
+            continue
+        pool = r.permutation(4 * near.SHORT).astype(np.uint32)[: a + b - both]
+        x, y = r.permutation(pool[:a]), r.permutation(pool[a - both :])
+        if r.random() < 0.3:
+            x[x < 9], y[y < 9] = 3, 3
+        gram = np.unique(pool[r.random(len(pool)) < 0.5])
+        known = gram, r.integers(2, 9, len(gram))
+        keys, text, shorter = near.rare_keys(np.concatenate((x, y)), np.array([a, b]), known, 0.5)
+        assert {*keys[(text == 0) & shorter]} & {*keys[text == 1]}, (a, b, both)
+
+
+def test_last_bits_of_registers_rule_out_no_pair_that_differs_less():
+    r = np.random.default_rng(6)
+    a = r.integers(0, 1 << 16, (200, near.REGISTERS)).astype(np.uint16)
+    b = np.where(r.random(a.shape) < r.random((200, 1)), a, r.integers(0, 1 << 16, a.shape).astype(np.uint16))
+    assert (near.differing_brief(near.brief(a), near.brief(b)) == (a % 16 != b % 16).sum(1)).all()
+
+
 def test_pairs_out_of_reach_are_below_the_threshold_or_the_estimate():
     r = np.random.default_rng(5)
     for _ in range(600):
